@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import counts, leaks, sentences, topn, weights
+from lodestar.llm import counts, encodings, leaks, packing, sentences, topn, weights
 from lodestar.storage import cut, table
 
 
@@ -59,6 +59,40 @@ def p5_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("qid", "pid", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _garbled(spark: SparkSession, sf: str) -> DataFrame:
+    lines, parsed = table(spark, sf, "collection_lines"), table(spark, sf, "parsed_documents")
+
+    def records(name: str, rec_id, text, source, folded: bool, df: DataFrame) -> DataFrame:
+        return df.select(text.alias("text"), source.alias("source"), F.lit(name).alias("kind"), F.lit(folded).alias("folded"), F.lit(name).alias("rec_table"), rec_id.alias("rec_id"))
+
+    both = records("collection_lines", F.col("line_no").cast("string"), F.col("line"), F.col("part_file"), False, lines)
+    return encodings.find_garbled(both.unionByName(records("parsed_documents", F.col("pid"), F.concat_ws(" ", "tokens"), F.lit(""), True, parsed)))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf).select("rec_table", "rec_id").distinct()
+
+
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    return _garbled(spark, sf).select("rec_table", "rec_id", "chain", "restored")
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), table(spark, sf, "pack_specs"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.cut_documents(_packed(spark, sf))
+
+
+def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.summary(_packed(spark, sf), table(spark, sf, "pack_specs"))
+
+
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -92,6 +126,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_incremental": p4_incremental,
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
+    "p6_found": p6_found,
+    "p6_repaired": p6_repaired,
+    "p7_found": p7_found,
+    "p7_packed": p7_packed,
+    "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
     "p8_clean": p8_clean,
@@ -111,6 +150,14 @@ _TOP = """
     k AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM v WHERE r = 1)"""
 
 ORACLES: dict[str, str] = {
+    "p7_found": """
+        SELECT DISTINCT pack_id, doc_id FROM documents, pack_specs WHERE strlen(text) > capacity""",
+    "p8_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+        dg AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+        ig AS (SELECT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
     "p3_found": """
         WITH v AS (SELECT docid, term, tf, row_number() OVER (PARTITION BY docid, term ORDER BY written_at DESC NULLS LAST, tf DESC) AS r
             FROM postings WHERE docid IS NOT NULL AND term IS NOT NULL AND tf > 0),
