@@ -38,14 +38,14 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
     """Split a table that comes in too few partitions for heavy map work; a large table is left where it lies.
 
-    Only a plain scan is looked at: its partitions can be counted without running anything. Hashing on a key keeps
-    retried tasks deterministic.
+    Only a plain scan is looked at: its partitions can be counted without running anything. Rows are dealt in turn, so
+    that no key or repeated text can weigh on one task; Spark sorts them first, which keeps retried tasks deterministic.
     """
     n = width(df.sparkSession)
     plan = df._jdf.queryExecution().executedPlan()
     if "AdaptiveSparkPlan" not in plan.toString() and df._jdf.queryExecution().toRdd().getNumPartitions() >= n:
         return df
-    return df.repartition(n, *keys)
+    return df.repartition(n)
