@@ -26,8 +26,9 @@ from lodestar.storage import cut, spread
 
 PAIRS, SINGLES, SOURCES = 1 << 18, 1 << 14, 256
 #: Shares of a round's first guess: a record is garbled, and lost beyond any chain. The first is far too high on
-#: purpose: the first pair model was counted on garbled text too and is biased the other way.
-GARBLED, LOST = 0.2, 1e-5
+#: purpose: the first pair model was counted on garbled text too and is biased the other way. The second stays as it is,
+#: so that a text is not called lost for being rare.
+GARBLED, LOST = 0.2, 1e-12
 #: Taken off every count, so that what occurs in one place only does not vouch for itself.
 DISCOUNT = 1.0
 #: log P of a letter that lower case has changed, where it may also stand for itself.
@@ -81,7 +82,7 @@ class Codec:
             # what a letter in lower case may have been, as bytes
             self.folded = {c: (b,) for c, b in self.byte.items()}
             for c, b in self.byte.items():
-                if len(low := c.lower()) == 1 and low != c:
+                if len(low := c.lower()) == 1 and low != c and (b > 127 or written in _MULTI and written != "utf-8"):
                     self.folded[low] = tuple(sorted({b, *self.folded.get(low, ())}))
         if written not in _MULTI:
             self.char = _table(written)
@@ -95,6 +96,12 @@ class Codec:
         ways = {self.char[b].lower() for b in own}
         return tuple((w, 0.0 if w == plain or plain is None else HIDDEN) for w in sorted(ways))
 
+    def price(self, token: str, before: str) -> float:
+        """Of the capitals that undoing a folded token has assumed."""
+        if self.written in _MULTI or self.read in _MULTI or len(token) != len(before):
+            return 0.0
+        return sum(dict(self.outcomes[c]).get(b, 0.0) for c, b in zip(token, before, strict=True) if not c.isascii())
+
     def encode(self, text: str) -> bytes | None:
         if self.read in _MULTI:
             try:
@@ -132,17 +139,13 @@ class Codec:
             ways = [self.outcomes[c] for c in token]
         except KeyError:
             return None
-        beam = [(0.0, "")]
-        for n, own in enumerate(ways):
-            if len(own) == 1 and len(beam) == 1:
-                beam = [(beam[0][0] + own[0][1], beam[0][1] + own[0][0])]
+        beam: list[tuple] = [_START]
+        for own in ways:
+            if len(own) == 1 and len(beam) == 1 and beam[0][0] == 0.0:  # nothing to choose so far
+                beam = [(own[0][1], own[0][0], beam[0])]
                 continue
-            grown = [(s + price + pair.step(t[-1:], c), t + c) for s, t in beam for c, price in own]
-            beam = sorted(grown, reverse=True)[:BEAM]
-            if n + 1 == len(ways) or len(ways[n + 1]) == 1:  # settled once the next character is known
-                after = ways[n + 1][0][0] if n + 1 < len(ways) else " "
-                beam = [max((s + pair.step(t[-1:], after), t) for s, t in beam)]
-        return max(beam)[1]
+            beam = _best((x[0] + price + pair.step(x[1], c), c, x) for x in beam for c, price in own)
+        return _text(_best((x[0] + pair.step(x[1], " "), x[1], x[2]) for x in beam)[0])
 
     def _sizes(self, lead: int) -> tuple[int, ...]:
         if lead < 0x80:
@@ -155,12 +158,12 @@ class Codec:
         """The most probable text whose bytes are among the options. But for UTF-8, where a torn sequence would prove
         nothing, a byte may have lost its other half, at a price."""
         n, torn = len(options), self.written != "utf-8"
-        beams: list[list[tuple[float, str]]] = [[] for _ in range(n + 1)]
-        beams[0] = [(0.0, "")]
+        beams: list[list[tuple]] = [[] for _ in range(n + 1)]
+        beams[0] = [_START]
         for i in range(n):
-            kept = sorted(set(beams[i]), reverse=True)[:BEAM]
-            if not kept:
+            if not beams[i]:
                 continue
+            kept = beams[i] = _best(beams[i])
             for lead in options[i]:
                 for size in self._sizes(lead):
                     if i + size > n:
@@ -174,10 +177,31 @@ class Codec:
                         except UnicodeDecodeError:
                             continue
                         if len(c) == 1 and (inner is None or c in inner.byte):
-                            beams[i + size] += [(s + pair.step(t[-1:], c), t + c) for s, t in kept]
+                            beams[i + size] += [(x[0] + pair.step(x[1], c), c, x) for x in kept]
             if torn and options[i][0] >= 0x80:
-                beams[i + 1] += [(s + TORN, t + TORN_MARK) for s, t in kept]
-        return max(beams[n])[1] if beams[n] else None
+                beams[i + 1] += [(x[0] + TORN, TORN_MARK, x) for x in kept]
+        return _text(_best(beams[n])[0]) if beams[n] else None
+
+
+#: The beginning of a way through the choices: log P so far, last character, what came before.
+_START = (0.0, "", None)
+
+
+def _best(ways) -> list[tuple]:
+    """The most probable way to each last character, BEAM of them: what follows depends on nothing else."""
+    best: dict[str, tuple] = {}
+    for w in ways:
+        if w[1] not in best or w[0] > best[w[1]][0]:
+            best[w[1]] = w
+    return sorted(best.values(), key=lambda w: (-w[0], w[1]))[:BEAM]
+
+
+def _text(way: tuple) -> str:
+    out = []
+    while way is not None:
+        out.append(way[1])
+        way = way[2]
+    return "".join(reversed(out))
 
 
 _CODECS = {step: Codec(*step) for steps in CHAINS.values() for step in steps}
@@ -221,6 +245,9 @@ def undo(token: str, chain: str, folded: bool, pair: PairModel) -> str | None:
     return text.lower() if folded else text
 
 
+_NOISE = {c for t in ("cp1252", "latin_1", "mac_roman", "cp437", "cp850") for b in range(128, 256) for c in (_table(t)[b], _table(t)[b].lower())}
+
+
 def _cell(prev: str, cur: str) -> int:
     return (ord(prev) * 0x9E3779B1 ^ ord(cur) * 0x85EBCA6B) % 0xFFFFFFFB & (PAIRS - 1) if prev else ord(cur) * 0x2545F491 % 0xFFFFFFFB & (PAIRS - 1)
 
@@ -259,9 +286,10 @@ class PairModel:
         return total + step(prev, " ")
 
     def noise(self, token: str) -> float:
-        """log P of a token whose non-ASCII characters are noise, any of 128, and the others are drawn one by one."""
+        """log P of a token whose non-ASCII characters are noise, any single byte as Western encodings show it, and the
+        others are drawn one by one."""
         total = self.total()
-        return sum(math.log(self.singles[ord(c)] / total + 1e-7) if c.isascii() else -5.5 for c in token + " ")
+        return sum(math.log(self.singles[ord(c)] / total + 1e-7) if c.isascii() else -5.5 if c in _NOISE else -16.0 for c in token + " ")
 
     def __getstate__(self):
         return self.pairs.astype(np.float32), self.singles.astype(np.float32)
@@ -300,7 +328,8 @@ class Judge:
                 if t is not None and not any(c < " " or "\x7f" <= c < "\xa0" for c in t) and 2 * t.count(TORN_MARK) < len(t):
                     if t not in seen:
                         seen[t] = self.pair(t) + TORN * t.count(TORN_MARK)
-                    got[chain] = (t, seen[t])
+                    hidden = _CODECS[CHAINS[chain][0]].price(token, t) if folded and len(CHAINS[chain]) == 1 else 0.0
+                    got[chain] = (t, seen[t] + hidden)
             if len(token) < 200 and len(self.memo) < 100_000:
                 self.memo[(token, folded)] = got
         return got
@@ -323,7 +352,7 @@ class Judge:
                 else:
                     total += p
             score[chain] = math.log(share.get(chain, 0) or 1e-9) + total
-        score[LOST_CHAIN] = math.log(share.get(LOST_CHAIN, 0) or 1e-9) + sum(max(p + math.log(SOUND), self.pair.noise(t)) for t, _, p in odd)
+        score[LOST_CHAIN] = math.log(LOST) + sum(max(p + math.log(SOUND), self.pair.noise(t)) for t, _, p in odd)
         top = max(score.values())
         weights = {c: math.exp(s - top) for c, s in score.items() if s > top - 30}
         whole = sum(weights.values())
@@ -395,7 +424,7 @@ def _judge(statistics: DataFrame, shares: bool) -> Judge:
     return Judge(pair, out, pooled)
 
 
-def find_garbled(records: DataFrame, rounds: int = 3) -> DataFrame:
+def find_garbled(records: DataFrame, rounds: int = 2) -> DataFrame:
     """The columns of `records` but text, and chain, probability, restored: the records garbled by more odds than not.
 
     `records` has text, source, kind (the field the text comes from) and folded (whether it was put in lower case
@@ -410,7 +439,7 @@ def find_garbled(records: DataFrame, rounds: int = 3) -> DataFrame:
     odd = records.where(F.col("text").rlike(r"[^\x00-\x7f]"))
     group = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(SOURCES)).cast("int")
     rows = odd.select("text", group.alias("group"), "kind", "folded", *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
-    rows = cut(spread(rows, "text"), "texts")
+    rows = spread(cut(rows, "texts"))
     model = _judge(_statistics(rows, None), shares=False)
     for _ in range(rounds):
         model = _judge(_statistics(rows, model), shares=True)

@@ -138,7 +138,7 @@ def find_matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", item: s
         raise ValueError("least must be positive")
     schema = MATCHES.format(dict(docs.dtypes)[doc], dict(items.dtypes)[item])
     item_type = pa.int64() if dict(items.dtypes)[item] == "bigint" else pa.string()
-    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))
     found = None
     for block in _blocks(items, item, text):
         part = rows.mapInArrow(_matcher(Items(block, least), item_type), schema)

@@ -165,6 +165,9 @@ class Rules:
                 c = text[k]
             hit = next((n for n in range(len(open_) - 1, -1, -1) if c in OPENERS[open_[n][0]]), None)
             if hit is None:
+                if k == j and c in CLOSERS and (c not in OPENERS or c in "\"＂" and (k + 1 >= end or text[k + 1].isspace())):
+                    j = k + 1  # opened in an earlier paragraph or not at all
+                    continue
                 if c in STRONG + STOPS + ELLIPSIS and j > b:
                     j = k + 1
                     strong = strong or c in STRONG
@@ -280,7 +283,7 @@ def split_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
     gives an empty result.
     """
     kind = dict(docs.dtypes)[doc]
-    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text")), "doc_id")
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))
     schema = f"doc_id {kind}, sentence_no int, start_pos int, end_pos int" + ", sentence string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

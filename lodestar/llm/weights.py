@@ -77,7 +77,7 @@ def graph_of_words(records: DataFrame, doc: str, tokens: str, window: int = 4) -
                 tf += f.tolist()
             yield pa.RecordBatch.from_arrays([docs.take(pa.array(take, pa.int64())), pa.array(terms, pa.string()), pa.array(degree, pa.int64()), pa.array(tf, pa.int64())], names=["doc", "term", "degree", "tf"])
 
-    return spread(rows, "doc").mapInArrow(edges, f"doc {kind}, term string, degree bigint, tf bigint")
+    return spread(rows).mapInArrow(edges, f"doc {kind}, term string, degree bigint, tf bigint")
 
 
 def weighted(local: DataFrame, amount: str, min_df: int = 2) -> DataFrame:
