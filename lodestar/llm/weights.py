@@ -29,10 +29,8 @@ def latest_postings(postings: DataFrame, doc: str, term: str, tf: str, at: str)
     at the same time the larger tf counts.
     """
     rows = postings.where(F.col(doc).isNotNull() & F.col(term).isNotNull() & (F.col(tf) > 0))
-    at_us = F.coalesce(F.unix_micros(F.col(at)), F.lit(-(2**62))).alias("_at")
-    rows = rows.select(F.col(doc).alias("doc"), F.col(term).alias("term"), F.col(tf).cast("int").alias("tf"), at_us)
-    one_time = rows.groupBy("doc", "term", "_at").agg(F.max("tf").alias("tf"))
-    return one_time.groupBy("doc", "term").agg(F.max_by("tf", "_at").alias("tf"))
+    last = F.max(F.struct(F.coalesce(F.unix_micros(F.col(at)), F.lit(-(2**62))).alias("at"), F.col(tf).cast("int").alias("tf"))).alias("last")
+    return rows.groupBy(F.col(doc).alias("doc"), F.col(term).alias("term")).agg(last).select("doc", "term", "last.tf")
 
 
 def _degrees(tokens: list, window: int):
