@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import codec, scoring, stem, text
+from lodestar.storage import cut, spread
 
 #: A posting list larger than this is cut into blocks of floor(sqrt(df)) postings.
 BLOCK_BYTES = 2048
@@ -46,22 +47,27 @@ def parse_terms(terms: DataFrame, stop: DataFrame | None) -> DataFrame:
     return stem.stem_terms(text.without_stopwords(terms, stop) if stop is not None else terms)
 
 
-def document_lengths(docs: DataFrame, terms: DataFrame | None, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """doc_id, doc_len of every document, those without terms included. Unparsed lengths need no token rows."""
-    ids = docs.select(F.col(key).alias("doc_id"), F.col(body).alias("text"))
-    if terms is None:
-        return ids.select("doc_id", F.size(text.tokens(F.col("text"))).cast("bigint").alias("doc_len"))
-    lengths = terms.groupBy("doc_id").agg(F.count("*").alias("doc_len"))
-    return ids.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
+def document_lengths(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """doc_id, doc_len of every document, those without terms included."""
+    return tokenised(docs, key, body).select("doc_id", "doc_len")
 
 
-def postings_of(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
-    """term, doc_id, tf, doc_len without a join: the length is that of the array the terms come from."""
+def tokenised(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """doc_id, doc_len, tokens: the one pass over the text; null texts have no tokens."""
     words = docs.select(F.col(key).alias("doc_id"), text.tokens(F.col(body)).alias("tokens"))
-    rows = words.select("doc_id", F.size("tokens").cast("bigint").alias("doc_len"), F.explode("tokens").alias("term"))
+    return words.select("doc_id", F.size("tokens").cast("bigint").alias("doc_len"), "tokens")
+
+
+def postings_from(words: DataFrame) -> DataFrame:
+    """term, doc_id, tf, doc_len without a join: the length travels with the terms."""
+    rows = words.select("doc_id", "doc_len", F.explode("tokens").alias("term"))
     return rows.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "doc_len")
 
 
+def postings_of(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    return postings_from(tokenised(docs, key, body))
+
+
 def statistics(doc_index: DataFrame, postings: DataFrame) -> DataFrame:
     """n_docs, total_len, vocab_size, avgdl: one row. Documents without terms count."""
     docs = doc_index.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_len"))
@@ -86,16 +92,26 @@ def lexicon_of(postings: DataFrame, n_docs: Column, avgdl: Column) -> DataFrame:
 
 
 def build(docs: DataFrame, key: str = "doc_id", body: str = "text", parsed: bool = False, stop: DataFrame | None = None) -> Index:
-    """An index of the documents; with `parsed`, stopwords are dropped and terms stemmed. Null texts have no terms."""
+    """An index of the documents; with `parsed`, stopwords are dropped and terms stemmed. Null texts have no terms.
+
+    The tokens are stored in the shared folder first, since every table of the index comes from them.
+    """
+    plain = spread(docs.select(F.col(key).alias("doc_id"), F.col(body).alias("text")))
+    words = cut(tokenised(plain), "tokens")
     if parsed:
-        terms = parse_terms(text.exploded(docs.select(F.col(key).alias("doc_id"), F.col(body).alias("text")), "doc_id", "text").drop("pos"), stop)
-        doc_index = document_lengths(docs, terms, key, body)
-        postings = term_counts(terms).join(doc_index, "doc_id").select("term", "doc_id", "tf", "doc_len")
+        terms = cut(parse_terms(words.select("doc_id", F.explode("tokens").alias("term")), stop), "terms")
+        lengths = terms.groupBy("doc_id").agg(F.count("*").alias("doc_len"))
+        doc_index = words.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
+        postings = term_counts(terms).join(lengths, "doc_id").select("term", "doc_id", "tf", "doc_len")
     else:
-        doc_index, postings = document_lengths(docs, None, key, body), postings_of(docs, key, body)
-    stats = statistics(doc_index, postings)
-    bare = Index(postings, postings, doc_index, stats)
-    return Index(postings, lexicon_of(postings, bare.n_docs(), bare.avgdl()), doc_index, stats, parsed, stop if parsed else None)
+        doc_index, postings = words.select("doc_id", "doc_len"), postings_from(words)
+    return over(doc_index, postings, parsed, stop if parsed else None)
+
+
+def over(doc_index: DataFrame, postings: DataFrame, parsed: bool = False, stop: DataFrame | None = None) -> Index:
+    """The index with the aggregates of these tables."""
+    bare = Index(postings, postings, doc_index, statistics(doc_index, postings))
+    return Index(postings, lexicon_of(postings, bare.n_docs(), bare.avgdl()), doc_index, bare.stats, parsed, stop)
 
 
 def merge_partials(parts: list[DataFrame]) -> DataFrame:
@@ -144,11 +160,13 @@ def next_at_least(postings: DataFrame, targets: DataFrame) -> DataFrame:
 def save(index: Index, path: str) -> None:
     """Write the tables; postings and lexicon are range-partitioned and sorted by term, so that a filter on terms
     reads few row groups. An index that is there is replaced."""
+    spark = index.postings.sparkSession
     index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-    index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
     index.doc_index.write.mode("overwrite").parquet(f"{path}/doc_index")
+    # the aggregates are made from what is stored now, not from the text again
+    index = over(spark.read.parquet(f"{path}/doc_index"), spark.read.parquet(f"{path}/postings"), index.parsed, index.stop)
+    index.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    spark = index.postings.sparkSession
     if index.stop is not None:
         index.stop.write.mode("overwrite").parquet(f"{path}/stop")
     spark.range(1).select(F.lit(index.parsed).alias("parsed"), F.lit(index.stop is not None).alias("stop"), F.current_timestamp().alias("created")).write.mode("overwrite").parquet(f"{path}/meta")

@@ -7,7 +7,7 @@ asked, so it is computed on the side of the postings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import scoring, text
@@ -30,29 +30,42 @@ def known_terms(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     return terms.join(lexicon.select("term", "df"), "term").select("qid", "term", "qtf", "df")
 
 
+def _weighted(terms: DataFrame, index: ix.Index) -> DataFrame:
+    """qid, term, df, weight of the known terms."""
+    weight = F.col("qtf") * scoring.idf(index.n_docs(), F.col("df"))
+    return known_terms(terms, index.lexicon).select("qid", "term", "df", weight.alias("weight"))
+
+
+def _part(index: ix.Index, model: str) -> Column:
+    """TF-IDF needs no document lengths and does not read them."""
+    if scoring.check_model(model) == "bm25":
+        return scoring.bm25(F.col("tf"), F.col("doc_len"), index.avgdl(), F.col("weight")).alias("part")
+    return scoring.tfidf(F.col("tf"), F.col("weight")).alias("part")
+
+
 def contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
-    """qid, doc_id, term, part: what each term of a query adds to the score of each document that holds it. TF-IDF
-    needs no document lengths and does not read them."""
-    scoring.check_model(model)
-    lex = index.lexicon.select("term", "df")
-    asked = terms.join(lex, "term").withColumn("weight", F.col("qtf") * scoring.idf(index.n_docs(), F.col("df")))
-    joined = index.postings.join(asked, "term")
-    if model == "bm25":
-        part = scoring.bm25(F.col("tf"), F.col("doc_len"), index.avgdl(), F.col("weight"))
-    else:
-        part = scoring.tfidf(F.col("tf"), F.col("weight"))
-    return joined.select("qid", "doc_id", "term", part.alias("part"))
+    """qid, doc_id, term, part: what each term of a query adds to the score of each document that holds it."""
+    return index.postings.join(_weighted(terms, index), "term").select("qid", "doc_id", "term", _part(index, model))
+
+
+def conjunctive_contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
+    """qid, doc_id, need, part of the documents that hold the rarest known term of the query; need is the number of
+    known terms. Only those documents can hold them all, so the lists of the others are not gone through query by query."""
+    by = Window.partitionBy("qid")
+    asked = _weighted(terms, index).withColumns({"need": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("df", "term"))})
+    rare = asked.where("_r = 1").select("qid", "term")
+    brought = index.postings.select("term", "doc_id").join(rare, "term").select("qid", "doc_id")
+    wanted = brought.join(asked.select("qid", "term", "weight", "need"), "qid")
+    return index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", "need", _part(index, model))
 
 
 def score(terms: DataFrame, index: ix.Index, model: str = "bm25", conjunctive: bool = False) -> DataFrame:
     """qid, doc_id, score above 0, rounded; conjunctive: only documents with every known term of the query."""
-    parts = contributions(terms, index, model)
     total = F.round(F.sum("part"), DIGITS).alias("score")
     if not conjunctive:
-        return parts.groupBy("qid", "doc_id").agg(total).where("score > 0")
-    have = parts.groupBy("qid", "doc_id").agg(total, F.count("*").alias("have"))
-    need = known_terms(terms, index.lexicon).groupBy("qid").agg(F.count("*").alias("need"))
-    return have.join(need, "qid").where((F.col("have") == F.col("need")) & (F.col("score") > 0)).select("qid", "doc_id", "score")
+        return contributions(terms, index, model).groupBy("qid", "doc_id").agg(total).where("score > 0")
+    have = conjunctive_contributions(terms, index, model).groupBy("qid", "doc_id", "need").agg(total, F.count("*").alias("have"))
+    return have.where((F.col("have") == F.col("need")) & (F.col("score") > 0)).select("qid", "doc_id", "score")
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

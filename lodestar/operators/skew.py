@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.storage import cut
+
 #: A key is hot if it holds more than this part of all rows, so there are fewer hot keys than HOT_PART whatever the
 #: size of the data; their state may be broadcast.
 HOT_PART = 1024
@@ -66,7 +68,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, percents: Se
     rows = df.select(*keys, F.col(value).cast("bigint").alias("_v")).where(F.col("_v").isNotNull())
     counts = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     total = rows.agg(F.count("_v").alias("_t"))
-    hot = counts.where(F.col("_n") * HOT_PART > total.scalar())
+    hot = cut(counts.where(F.col("_n") * HOT_PART > total.scalar()), "hot-keys")
     pct = F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("percent")
     state = hot.select(*keys, pct, "_n", "_lo", "_hi")
     state = state.select(*keys, "percent", "_lo", "_hi", F.expr("greatest(1L, (_n * percent + 99) div 100)").alias("_rank"))
@@ -76,12 +78,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, percents: Se
     cold = rows.join(marked, _same(rows, flagged, keys), "left_anti")
     by = Window.partitionBy(*keys)
     ranked = cold.select(*keys, "_v", F.row_number().over(by.orderBy("_v")).alias("_r"), F.count("_v").over(by).alias("_n"))
-    ranked = ranked.select(*keys, "_v", "_r", "_n", pct).where(F.expr("_r = greatest(1L, (_n * percent + 99) div 100)"))
+    hit = [F.col("_r") == F.expr(f"greatest(1L, (_n * {int(p)} + 99) div 100)") for p in percents]
+    ranked = ranked.where(reduce(lambda a, b: a | b, hit)).select(*keys, "_v", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(int(p))) for h, p in zip(hit, percents, strict=True)]))).alias("percent"))
     return state.select(*keys, "percent", F.col("_lo").alias("value")).unionByName(ranked.select(*keys, "percent", F.col("_v").alias("value")))
 
 
 def _resolve(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rounds of refinement; `state` has fewer than HOT_PART keys. Only the number of rounds is taken to the driver."""
+    """Rounds of refinement; `state` has fewer than HOT_PART keys. Only the number of rounds is taken to the driver.
+
+    The state is stored after each round: it is read twice in the next, and would else be computed twice as often in each.
+    """
     widest = state.agg(F.max(F.col("_hi").cast("decimal(38,0)") - F.col("_lo"))).first()[0]
     span = int(widest) + 1 if widest is not None else 1
     while span > 1:
@@ -105,5 +111,6 @@ def _resolve(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFram
             F.expr("cast(least(cast(_hi as decimal(38,0)), _lo + (_c + 1) * _step - 1) as bigint)").alias("_hi"),
             (F.col("_rank") - (F.col("_upto") - F.col("count"))).alias("_rank"),
         ).withColumnRenamed("_new", "_lo")
+        state = cut(state, "state")
         span = -(-span // CELLS)
     return state

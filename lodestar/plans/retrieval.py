@@ -82,11 +82,11 @@ def stem_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_index(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.document_lengths(_docs(spark, sf), None)
+    return ix.document_lengths(_docs(spark, sf))
 
 
 def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return ix.statistics(ix.document_lengths(_docs(spark, sf), None), ix.postings_of(_docs(spark, sf))).withColumn("avgdl", F.round("avgdl", 6))
+    return ix.statistics(ix.document_lengths(_docs(spark, sf)), ix.postings_of(_docs(spark, sf))).withColumn("avgdl", F.round("avgdl", 6))
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.operators import index as ix
+from lodestar.storage import cut
 
 
 def write_part(docs: DataFrame, batch: int, path: str, key: str = "doc_id", body: str = "text") -> None:
-    ix.postings_of(docs, key, body).write.mode("overwrite").parquet(f"{path}/postings/part={batch}")
-    ix.document_lengths(docs, None, key, body).write.mode("overwrite").parquet(f"{path}/doc_index/part={batch}")
+    words = cut(ix.tokenised(docs, key, body), "tokens")
+    ix.postings_from(words).write.mode("overwrite").parquet(f"{path}/postings/part={batch}")
+    words.select("doc_id", "doc_len").write.mode("overwrite").parquet(f"{path}/doc_index/part={batch}")
 
 
 def feed(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", body: str = "text", **trigger) -> StreamingQuery:
@@ -26,8 +28,4 @@ def feed(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id", bod
 
 def open_index(spark: SparkSession, path: str) -> ix.Index:
     """The index over all parts written so far."""
-    postings = spark.read.parquet(f"{path}/postings").drop("part")
-    doc_index = spark.read.parquet(f"{path}/doc_index").drop("part")
-    stats = ix.statistics(doc_index, postings)
-    bare = ix.Index(postings, postings, doc_index, stats)
-    return ix.Index(postings, ix.lexicon_of(postings, bare.n_docs(), bare.avgdl()), doc_index, stats)
+    return ix.over(spark.read.parquet(f"{path}/doc_index").drop("part"), spark.read.parquet(f"{path}/postings").drop("part"))
