@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +35,22 @@ def latest_postings(postings: DataFrame, doc: str, term: str, tf: str, at: str)
     return rows.groupBy(F.col(doc).alias("doc"), F.col(term).alias("term")).agg(last).select("doc", "term", "last.tf")
 
 
+def _degrees_many(rec: np.ndarray, ids: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes rec * n + id in order, their distinct neighbours and occurrences, of records laid end to end."""
+    edges = []
+    for d in range(1, window + 1):
+        near = (rec[:-d] == rec[d:]) & (ids[:-d] != ids[d:])
+        a, b, r = ids[:-d][near], ids[d:][near], rec[:-d][near] * n
+        edges += [(r + a) * n + b, (r + b) * n + a]
+    nodes, tf = np.unique(rec * n + ids, return_counts=True)
+    owner, count = np.unique(np.unique(np.concatenate(edges)) // n, return_counts=True)
+    degree = np.zeros(len(nodes), np.int64)
+    degree[np.searchsorted(nodes, owner)] = count
+    return nodes, degree, tf
+
+
 def _degrees(tokens: list, window: int):
     """(term, distinct neighbours, occurrences) of one record; a term is no neighbour of itself."""
-    import numpy as np
-
     codes: dict[str, int] = {}
     ids = np.fromiter((codes.setdefault(t, len(codes)) for t in tokens if t is not None), dtype=np.int64)
     n, terms = len(codes), list(codes)
@@ -63,17 +77,30 @@ def graph_of_words(records: DataFrame, doc: str, tokens: str, window: int = 4) -
     kind = dict(records.dtypes)[doc]
     rows = records.where(F.col(doc).isNotNull() & (F.size(tokens) > 0)).select(F.col(doc).alias("doc"), F.col(tokens).alias("tokens"))
 
+    names = ["doc", "term", "degree", "tf"]
+
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, lists = batch.column(0), batch.column(1)
-            take, terms, degree, tf = [], [], [], []
-            for i in range(batch.num_rows):
-                t, d, f = _degrees(lists[i].as_py(), window)
-                take += [i] * len(t)
-                terms += t
-                degree += d.tolist()
-                tf += f.tolist()
-            yield pa.RecordBatch.from_arrays([docs.take(pa.array(take, pa.int64())), pa.array(terms, pa.string()), pa.array(degree, pa.int64()), pa.array(tf, pa.int64())], names=["doc", "term", "degree", "tf"])
+            lengths = pc.list_value_length(lists).to_numpy()
+            codes = lists.flatten().dictionary_encode()
+            ids, rec, n = codes.indices.fill_null(-1).to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths), len(codes.dictionary)
+            ends, first = np.cumsum(lengths), 0
+            while first < len(lengths):  # as many records as make a block, a longer one by itself
+                begin = int(ends[first] - lengths[first])
+                last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK_TOKENS, "right")))
+                part = slice(begin, int(ends[last - 1]))
+                kept = ids[part] >= 0
+                if lengths[first] > BLOCK_TOKENS:
+                    terms, degree, tf = _degrees(lists[first].as_py(), window)
+                    at, terms = np.full(len(terms), first), pa.array(terms, pa.string())
+                elif kept.any():
+                    nodes, degree, tf = _degrees_many(rec[part][kept] - first, ids[part][kept], n, window)
+                    at, terms = nodes // n + first, codes.dictionary.take(pa.array(nodes % n)).cast(pa.string())
+                else:
+                    at, terms, degree, tf = np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(at)), terms, pa.array(degree), pa.array(tf)], names=names)
+                first = last
 
     return spread(rows).mapInArrow(edges, f"doc {kind}, term string, degree bigint, tf bigint")
 

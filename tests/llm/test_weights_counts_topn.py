@@ -57,11 +57,25 @@ def test_degrees_match_brute_force(tokens, window, block):
         terms, degree, tf = weights._degrees(tokens, window)
     finally:
         weights.BLOCK_TOKENS = old
-    near = {t: {tokens[j] for i, x in enumerate(tokens) if x == t for j in range(max(0, i - window), min(len(tokens), i + window + 1))} - {t} for t in tokens}
+    near = _near(tokens, window)
     assert dict(zip(terms, degree.tolist(), strict=True)) == {t: len(n) for t, n in near.items()}
     assert dict(zip(terms, tf.tolist(), strict=True)) == Counter(tokens)
 
 
+def _near(tokens, window):
+    return {t: {tokens[j] for i, x in enumerate(tokens) if x == t for j in range(max(0, i - window), min(len(tokens), i + window + 1))} - {t} for t in tokens}
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 18])
+def test_graph_of_words_matches_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(weights, "BLOCK_TOKENS", block)
+    rnd = random.Random(block)
+    data = [(str(i), [rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 20))]) for i in range(60)]
+    got = {(r.doc, r.term): (r.degree, r.tf) for r in weights.graph_of_words(spark.createDataFrame(data, "pid string, tokens array<string>"), "pid", "tokens", 3).collect()}
+    want = {(i, t): (len(n), tokens.count(t)) for i, tokens in data for t, n in _near(tokens, 3).items()}
+    assert got == want
+
+
 def test_graph_of_words_edges(spark):
     df = spark.createDataFrame([("1", ["a", "b", None, "a", "c"]), ("2", []), ("3", None), (None, ["x"]), ("4", ["solo"]), ("5", ["w"] * 5000 + ["v"])], "pid string, tokens array<string>")
     got = {(r.doc, r.term): (r.degree, r.tf) for r in weights.graph_of_words(df, "pid", "tokens", 1).collect()}
