@@ -165,6 +165,13 @@ def single_term_topk(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k(search.score(common, index, "bm25"), K)
 
 
+def every_term_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of every lexicon term as a query of its own."""
+    index = stored_index(spark, sf)
+    each = index.lexicon.select("term", F.col("term").alias("qid"), F.lit(1).alias("qtf"))
+    return search.top_k(search.score(each, index, "bm25"), K)
+
+
 def plus_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Queries that ask for all terms, among them one that no document holds."""
     asked = _queries(spark, sf).select("qid", F.concat(F.lit(" +"), "query_text", F.lit(" zzunknown")).alias("query_text"))
@@ -224,6 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_query_file_topk": _topk(_queries, "bm25"),
     "bm25_parsed_topk": _topk(_bench, "bm25", parsed=True),
     "single_term_topk": single_term_topk,
+    "every_term_topk": every_term_topk,
     "unknown_terms_and": unknown_terms_and,
     "essential_terms": essential_terms,
     "maxscore_topk": maxscore_topk,
@@ -337,6 +345,10 @@ ORACLES: dict[str, str] = {
         s AS (SELECT qid, doc_id, round(bm25, 6) AS score FROM q JOIN sc USING (term)),
         r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
         SELECT qid, doc_id, rank, score FROM r WHERE rank <= {K}""",
+    "every_term_topk": f"""WITH {_LEX},
+        s AS (SELECT term AS qid, doc_id, round(bm25, 6) AS score FROM sc),
+        r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT qid, doc_id, rank, score FROM r WHERE rank <= {K}""",
     "essential_terms": f"""WITH {_LEX}, {_query_cte(_BENCH)}, ub AS (SELECT term, max(bm25) AS ub FROM sc GROUP BY term),
         b AS (SELECT qid, term, qtf, qtf * ub AS bound FROM q JOIN ub USING (term)),
         c AS (SELECT *, sum(bound) OVER (PARTITION BY qid ORDER BY bound, term ROWS UNBOUNDED PRECEDING) AS cum,

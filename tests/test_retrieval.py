@@ -6,6 +6,7 @@ import tarfile
 from collections import Counter
 
 import pytest
+from compare import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import codec, scoring, stem, text
 from lodestar.operators import index as ix
 from lodestar.operators import prune, search
+from lodestar.plans import retrieval
 from lodestar.sources import collection, runfile
 
 
@@ -271,3 +273,10 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("sys.stdin", io.StringIO("\n+red fox\nq\n"))
     main(["ask", f"{tmp_path}/ix"])
     assert capsys.readouterr().out.startswith("1\t")
+
+
+def test_every_lexicon_term_gets_its_top_k(spark):
+    scored = retrieval.stored_index(spark, SF).lexicon.where("idf > 0 and round(bm25_ub, 6) > 0").select("term")
+    got = retrieval.QUERIES["every_term_topk"](spark, SF).select(F.col("qid").alias("term")).distinct()
+    assert got.count() > 20
+    assert scored.exceptAll(got).count() == 0 and got.exceptAll(scored).count() == 0
