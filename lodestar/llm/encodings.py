@@ -26,9 +26,11 @@ from lodestar.storage import cut, spread
 
 PAIRS, SINGLES, SOURCES = 1 << 18, 1 << 14, 256
 #: Shares of a round's first guess: a record is garbled, and lost beyond any chain. The first is far too high on
-#: purpose: the first pair model was counted on garbled text too and is biased the other way. The second stays as it is,
-#: so that a text is not called lost for being rare.
-GARBLED, LOST = 0.2, 1e-12
+#: purpose: the first pair model was counted on garbled text too and is biased the other way. The second is low, so that
+#: a text is not called lost for being rare; both are re-estimated.
+GARBLED, LOST = 0.2, 1e-5
+#: The rounds end when no share, pooled or of a group, has moved by more.
+SETTLED = 1e-3
 #: Taken off every count, so that what occurs in one place only does not vouch for itself.
 DISCOUNT = 1.0
 #: log P of a letter that lower case has changed, where it may also stand for itself.
@@ -352,7 +354,7 @@ class Judge:
                 else:
                     total += p
             score[chain] = math.log(share.get(chain, 0) or 1e-9) + total
-        score[LOST_CHAIN] = math.log(LOST) + sum(max(p + math.log(SOUND), self.pair.noise(t)) for t, _, p in odd)
+        score[LOST_CHAIN] = math.log(share.get(LOST_CHAIN, 0) or LOST) + sum(max(p + math.log(SOUND), self.pair.noise(t)) for t, _, p in odd)
         top = max(score.values())
         weights = {c: math.exp(s - top) for c, s in score.items() if s > top - 30}
         whole = sum(weights.values())
@@ -424,14 +426,21 @@ def _judge(statistics: DataFrame, shares: bool) -> Judge:
     return Judge(pair, out, pooled)
 
 
-def find_garbled(records: DataFrame, rounds: int = 2) -> DataFrame:
+def _moved(before: Judge, after: Judge) -> float:
+    """The most that a share changed."""
+    pairs = [(before.pooled, after.pooled), *((before.shares.get(key, before.pooled), got) for key, got in after.shares.items())]
+    return max(abs(a[c] - b[c]) for b, a in pairs for c in a)
+
+
+def find_garbled(records: DataFrame, rounds: int = 20) -> DataFrame:
     """The columns of `records` but text, and chain, probability, restored: the records garbled by more odds than not.
 
     `records` has text, source, kind (the field the text comes from) and folded (whether it was put in lower case
     later), and any other columns. probability is that of any damage, chain the most probable one, `lost` if no
     chain explains it, `replaced` if replacement characters stand for lost ones; restored is null for these two. A garbled part
     makes a record garbled; sound parts are restored to themselves. Null texts and texts of ASCII alone are sound.
-    Repeated records are judged one by one; an empty table gives an empty result.
+    Repeated records are judged one by one; an empty table gives an empty result. The shares are re-estimated until they
+    settle, in at most `rounds` rounds.
     """
     if rounds < 1:
         raise ValueError("rounds must be positive")
@@ -442,7 +451,9 @@ def find_garbled(records: DataFrame, rounds: int = 2) -> DataFrame:
     rows = spread(cut(rows, "texts"))
     model = _judge(_statistics(rows, None), shares=False)
     for _ in range(rounds):
-        model = _judge(_statistics(rows, model), shares=True)
+        before, model = model, _judge(_statistics(rows, model), shares=True)
+        if _moved(before, model) <= SETTLED:
+            break
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"_{i} {kinds[f'_{i}']}" for i in range(len(names))], "chain string, probability double, restored string"])
 

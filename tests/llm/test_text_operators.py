@@ -60,6 +60,28 @@ def test_garbled_records_are_found_and_restored(spark):
     assert right >= 0.9 * len(truth)
 
 
+def test_lost_records_of_a_source_vouch_for_each_other(spark):
+    """Letters replaced at random, by no chain: a source full of them shows it, and the share of the lost is re-estimated."""
+    rnd, noise = random.Random(5), sorted(c for c in encodings._NOISE if c.isalpha())
+    data, lost = [], set()
+    for i in range(1200):
+        text = rnd.choice(CLEAN).format(rnd.choice(["Rilo", "Denlo", "Tamer"]), rnd.randint(100, 2000))
+        if i % 3 == 0 and rnd.random() < 0.4:
+            text = "".join(c if c.isascii() else rnd.choice(noise) for c in text)
+            lost.add(i)
+        data.append((i, text, f"part-{i % 3}", "line", False))
+    df = spark.createDataFrame(data, "id int, text string, source string, kind string, folded boolean")
+    found = {r.id for r in encodings.find_garbled(df).collect()}
+    assert len(found - lost) <= 2
+    assert len(lost & found) >= 0.9 * len(lost)
+
+
+def test_share_of_the_lost_counts():
+    few, many = ({encodings.NONE: 0.5, encodings.LOST_CHAIN: s} for s in (1e-9, 0.5))
+    weigh = lambda share: encodings.Judge(encodings.PairModel(), {}, share)("zæþð", 0, "line", False)[0].get(encodings.LOST_CHAIN, 0.0)
+    assert weigh(many) > weigh(few)
+
+
 def test_encoding_edges(spark):
     schema = "id int, text string, source string, kind string, folded boolean"
     data = [(1, None, "s", "k", False), (2, "", "s", "k", False), (3, "plain ascii", None, "k", False), (4, "lost � here", None, "k", False), (4, "lost � here", None, "k", False), (5, "é" + "x" * 100_000, "s", "k", True)]
