@@ -41,7 +41,6 @@ TORN, TORN_MARK = -12.0, "�"
 PRIOR_RECORDS = 50.0
 #: Within a garbled record a token may still be sound.
 SOUND = 0.1
-BEAM = 6
 NONE, LOST_CHAIN, REPLACED = "none", "lost", "replaced"
 
 #: Encodings read as another, as (written, read) in Python's names.
@@ -182,7 +181,7 @@ class Codec:
                             beams[i + size] += [(x[0] + pair.step(x[1], c), c, x) for x in kept]
             if torn and options[i][0] >= 0x80:
                 beams[i + 1] += [(x[0] + TORN, TORN_MARK, x) for x in kept]
-        return _text(_best(beams[n])[0]) if beams[n] else None
+        return _text(_best((x[0] + pair.step(x[1], " "), x[1], x[2]) for x in beams[n])[0]) if beams[n] else None
 
 
 #: The beginning of a way through the choices: log P so far, last character, what came before.
@@ -190,12 +189,13 @@ _START = (0.0, "", None)
 
 
 def _best(ways) -> list[tuple]:
-    """The most probable way to each last character, BEAM of them: what follows depends on nothing else."""
+    """The most probable way to each last character, the best first: what follows depends on nothing else. The options at
+    a place bound their number."""
     best: dict[str, tuple] = {}
     for w in ways:
         if w[1] not in best or w[0] > best[w[1]][0]:
             best[w[1]] = w
-    return sorted(best.values(), key=lambda w: (-w[0], w[1]))[:BEAM]
+    return sorted(best.values(), key=lambda w: (-w[0], w[1]))
 
 
 def _text(way: tuple) -> str:

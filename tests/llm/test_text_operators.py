@@ -1,5 +1,6 @@
 """Encoding repair, packing, leaks and sentences: edge cases, brute force, round trips."""
 
+import itertools
 import random
 
 import numpy as np
@@ -112,6 +113,20 @@ def test_every_chain_is_undone(chain):
     assert done or chain.split(">")[0] in ("cp1255", "cp1256", "cp874") or chain.endswith(">latin_1") or ">gbk" in chain or ">big5" in chain or ">shift_jis" in chain or ">euc_kr" in chain
 
 
+@pytest.mark.parametrize("true", range(8))
+def test_unlikely_beginning_is_followed_up(true):
+    """A folded token whose first character has eight readings: each is found if only what follows speaks for it."""
+    token, codec, pair = "õüç" * 2, encodings._CODECS[("utf-8", "cp850")], encodings.PairModel()
+    one = sorted(bytes(b).decode() for b in itertools.product(*[codec.folded[c] for c in token[:3]]))
+    assert len(one) == 8
+    for i, c in enumerate(one):
+        pair.memo |= {(before, c): -1.0 - (10 if i == true else i / 10) for before in ("", " ")} | {(c, after): -1.0 if i == true else -40.0 for after in one} | {(c, " "): -1.0}
+    pair.memo[(one[true], one[true])] = -0.5
+    got = encodings.undo(token, "utf-8>cp850", True, pair)
+    assert got == max(("".join(w) for w in itertools.product(one, one)), key=pair)
+    assert got[0] == one[true]
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------------
 
 
