@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import counts, encodings, leaks, packing, sentences, topn, weights
-from lodestar.storage import cut, table
+from lodestar.storage import cut, shared_dir, table
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,7 +46,9 @@ def p4_incremental(spark: SparkSession, sf: str) -> DataFrame:
     late = table(spark, sf, "parsed_documents").where(~first | F.col("parsed_at").isNull())
     touched = late.where(F.col("pid").isNotNull()).select(F.col("pid").alias("key")).distinct()
     old = _records(spark, sf, first)
-    state = cut(counts.merge(None, [counts.signed_deltas(None, old)]), "counts")
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    counts.save(counts.merge(None, [counts.signed_deltas(None, old)]), path)
+    state = counts.load(spark, path)
     delta = counts.signed_deltas(old.join(touched, "key", "left_semi"), _records(spark, sf).join(touched, "key", "left_semi"))
     return counts.term_counts(counts.merge(state, [delta]))
 

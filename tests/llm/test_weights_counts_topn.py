@@ -6,11 +6,13 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
+from compare import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.llm import counts, topn, weights
+from lodestar.llm.queries import QUERIES
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 POSTINGS = "docid bigint, term string, tf int, written_at timestamp"
@@ -187,3 +189,11 @@ def test_top_n_groups_across_batches(spark):
         assert rows(got) == sorted(want, key=repr)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_incremental_counts_merge_into_the_stored_parts(spark, monkeypatch):
+    paths, load = [], counts.load
+    monkeypatch.setattr(counts, "load", lambda s, path: paths.append(path) or load(s, path))
+    QUERIES["p4_incremental"](spark, SF)
+    assert len(paths) == 1
+    assert len(load(spark, paths[0]).inputFiles()) == counts.PARTS
