@@ -28,16 +28,19 @@ def normalise(text: Column) -> Column:
 
     Line breaks count as spaces. Then in this order: tags become spaces, ASCII punctuation becomes spaces, all goes to
     lower case; words that hold a non-ASCII character or have MAX_TERM_BYTES bytes or more disappear; characters up to
-    U+0020 are trimmed from both ends of a word; runs of one character that is no digit are cut to two.
+    U+0020 are trimmed from both ends of a word; runs of one character that is no digit are cut to two. The time is
+    linear in the length of the text: each pattern begins at a word's first character only, and takes back nothing.
     """
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\r\n]", " ")
-    t = F.regexp_replace(t, r"<[^>]+>", " ")
+    tail = F.substring_index(t, ">", -1)  # no tag ends there, so no bracket in it is looked at
+    t = F.concat(F.regexp_replace(F.left(t, F.length(t) - F.length(tail)), r"<[^>]++>", " "), tail)
     t = F.regexp_replace(t, r"\p{Punct}", " ")
     t = F.lower(t)
-    t = F.regexp_replace(t, r"[^ ]*[^\x00-\x7F][^ ]*", " ")
-    t = F.regexp_replace(t, rf"[^ ]{{{MAX_TERM_BYTES},}}+", " ")
-    t = F.regexp_replace(t, r"(?<![^ ])[\x00-\x1F]++(?![^ ])", _EMPTY)
-    t = F.regexp_replace(t, r"(?<![^ ])[\x00-\x1F]+|[\x00-\x1F]+(?![^ ])", "")
+    t = F.regexp_replace(t, r"(?<![^ ])[\x00-\x1F\x21-\x7F]*+[^\x00-\x7F][^ ]*+", " ")
+    t = F.regexp_replace(t, rf"(?<![^ ])[^ ]{{{MAX_TERM_BYTES},}}+", " ")
+    trimmed = F.regexp_replace(t, r"(?<![^ ])[\x00-\x1F]++(?![^ ])", _EMPTY)
+    trimmed = F.regexp_replace(trimmed, r"(?<![^ ])[\x00-\x1F]++|(?<![\x00-\x1F])[\x00-\x1F]++(?![^ ])", "")
+    t = F.when(t.rlike(r"[\x00-\x1F]"), trimmed).otherwise(t)
     return F.regexp_replace(t, r"([^0-9 ])\1{2,}", "$1$1")
 
 

@@ -70,12 +70,11 @@ def prefix_patterns(fields: Sequence[Field]) -> list[str]:
     return [r"(?s)\A" + r"\t".join(field_pattern(f) for f in fields[: k + 1]) + r"(?:\t|\z)" for k in range(len(fields))]
 
 
-def _well_quoted() -> str:
-    return rf"(?s)\A{ANY_FIELD}(?:\t{ANY_FIELD})*+\z"
-
-
-def _counted(n: int) -> str:
-    return rf"(?s)\A{ANY_FIELD}(?:\t{ANY_FIELD}){{{n - 1}}}\z"
+def remainder_patterns(fields: Sequence[Field], k: int) -> tuple[str, str]:
+    """For rows whose first k fields are valid, and not the next: whether all that follows these is well quoted, and
+    whether it makes up the number of fields."""
+    head = r"\t".join(field_pattern(f) for f in fields[:k]) or ANY_FIELD
+    return rf"(?s)\A{head}(?:\t{ANY_FIELD})*+\z", rf"(?s)\A{head}(?:\t{ANY_FIELD}){{{len(fields) - max(k, 1)}}}\z"
 
 
 def _value(line: Column, k: int) -> Column:
@@ -95,18 +94,18 @@ def parse_records(df: DataFrame, line: str, fields: Sequence[Field]) -> DataFram
     rows stay; an empty table gives an empty result.
     """
     text = F.col(line)
-    whole = F.coalesce(text.rlike(row_pattern(fields)), F.lit(False))
-    checked = df.withColumn("_ok", whole)
-    reason = (
-        F.when(F.col("_ok"), F.lit(None).cast("string"))
-        .when(text.isNull() | text.rlike(rf"\A[{SPACES}]*+\z"), F.lit("empty"))
-        .when(~text.rlike(_well_quoted()), F.lit("quoting"))
-        .when(~text.rlike(_counted(len(fields))), F.lit("columns"))
-        .otherwise(F.lit("value"))
-    )
-    broken = F.when(F.col("_ok"), F.lit(None).cast("string"))
-    for f, pattern in zip(fields, prefix_patterns(fields), strict=True):
-        broken = broken.when(~F.coalesce(text.rlike(pattern), F.lit(False)), F.lit(f.name))
+    checked = df.withColumn("_ok", F.coalesce(text.rlike(row_pattern(fields)), F.lit(False)))
+    at = F.when(F.col("_ok"), F.lit(None).cast("int"))
+    for k, pattern in enumerate(prefix_patterns(fields)):
+        at = at.when(~F.coalesce(text.rlike(pattern), F.lit(False)), F.lit(k))
+    checked = checked.withColumn("_at", F.when(~F.col("_ok"), F.coalesce(at, F.lit(len(fields)))))  # the first broken field
+    reason = F.when(F.col("_ok"), F.lit(None).cast("string")).when(text.isNull() | text.rlike(rf"\A[{SPACES}]*+\z"), F.lit("empty"))
+    for k in range(len(fields) + 1):  # only what stands from the broken field on is judged
+        quoted, counted = remainder_patterns(fields, k)
+        why = F.when(~text.rlike(quoted), F.lit("quoting")).when(~text.rlike(counted), F.lit("columns")).otherwise(F.lit("value"))
+        reason = reason.when(F.col("_at") == k, why)
+    names = F.array(*[F.lit(f.name) for f in fields])
+    broken = F.when(F.col("_at") < len(fields), F.get(names, F.col("_at")))
     values = {f.name: F.when(F.col("_ok"), _value(text, k)) for k, f in enumerate(fields)}
     extra = {"reason": reason, "broken_field": broken}
     renamed = checked.withColumns({f"_new_{n}": c for n, c in (values | extra).items()})

@@ -1,8 +1,10 @@
 """Per-key results when a few keys hold most of the rows.
 
-No operator here sends the values of one hot key to one task. What crosses the network is histograms: counts of
-value cells that merge on the map side. Exact distinct counts read the finest level of such a histogram (cells of
-one value, 64 to a word); exact quantiles refine it from coarse to fine until every rank lies in a cell of one value.
+Nothing here sends the values of one key to one task. Rows are first counted in the cells of a histogram, which merge
+on the map side; cells are merged into coarser ones, level by level, each of which divides into CELLS of the level below.
+A rank is then found from the top: at each level the running counts within one coarse cell say in which of its cells
+the rank lies, until that is a cell of one value. So a group that meets in one task has at most CELLS rows, for hot keys
+and others alike, at any size; no level and no state is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -15,102 +17,126 @@ from pyspark.sql import functions as F
 
 from lodestar.storage import cut
 
-#: A key is hot if it holds more than this part of all rows, so there are fewer hot keys than HOT_PART whatever the
-#: size of the data; their state may be broadcast.
-HOT_PART = 1024
-#: Cells into which a refinement round divides each open interval.
-CELLS = 256
+#: Cells that a cell of the level above divides into: a power of two.
+CELLS_BITS = 8
+CELLS = 1 << CELLS_BITS
+#: Values of one word of a bitmap, as bits.
+WORD_BITS = 6
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def distinct_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str = "n_distinct") -> DataFrame:
-    """keys, number of different non-null integers in `value`.
+def _levels(finest: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+    """The histogram `finest` (keys, _cell, _n) and its coarser levels, up to the one where no key has more than CELLS
+    cells. Only the least and the greatest cell of all are taken to the driver."""
+    low, high = finest.agg(F.min("_cell"), F.max("_cell")).first()
+    levels = [finest]
+    while low is not None and high - low >= CELLS:
+        low, high = low >> CELLS_BITS, high >> CELLS_BITS
+        up = levels[-1].groupBy(*keys, F.shiftright("_cell", CELLS_BITS).alias("_cell")).agg(F.sum("_n").alias("_n"))
+        levels.append(cut(up, "level") if high - low >= CELLS else up)
+    return levels
+
 
-    The histogram has one cell per value and 64 cells to a word, so rows of a hot key combine before the shuffle, and
-    the words of one key are spread over all partitions. A null key is a key of its own; null values do not count,
-    and a key that has no other has 0. Repeated rows change nothing; an empty table gives an empty result.
+def _resolve(levels: list[DataFrame], wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`wanted` (keys, _rank, other columns) with _cell, the cell of the finest level that holds the value of that rank
+    (from 1), and _rank within that cell; ranks beyond a key's last value and keys without values are dropped.
+
+    Each level goes to where its coarse cells are (by keys and coarse cell), is summed up there and met by the ranks.
     """
-    v = F.col(value).cast("bigint")
-    words = df.select(*keys, F.shiftright(v, 6).alias("_cell"), F.expr(f"shiftleft(1L, cast(cast(`{value}` as bigint) & 63L as int))").alias("_bit"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    own = [c for c in wanted.columns if c not in keys and c != "_rank"]
+    state = wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *own, "_rank", F.lit(0).cast("bigint").alias("_in"))
+    for depth, level in enumerate(reversed(levels)):
+        parent = F.lit(0).cast("bigint") if depth == 0 else F.shiftright("_cell", CELLS_BITS)
+        cells = level.select(*keys, "_cell", "_n", parent.alias("_parent"))
+        run = Window.partitionBy(*keys, "_parent").orderBy("_cell")
+        cells = cells.withColumn("_upto", F.sum("_n").over(run))
+        hit = cells.join(state, reduce(lambda a, b: a & b, on) & (F.col("_parent") == F.col("_in")))
+        hit = hit.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        state = hit.select(*[f"_k{i}" for i in range(len(keys))], *own, (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), F.col("_cell").alias("_in"))
+    return state.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], *own, "_rank", F.col("_in").alias("_cell"))
+
+
+def _words(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, _cell, _bits, _n: which of 64 neighbouring values occur, and how many of them; 0 of the null cell.
+
+    Rows of a hot key combine on the map side, and its cells are spread over all partitions."""
+    bit = F.expr(f"shiftleft(1L, cast(cast(`{value}` as bigint) & 63L as int))").alias("_bit")
+    words = df.select(*keys, F.shiftright(F.col(value).cast("bigint"), WORD_BITS).alias("_cell"), bit)
     words = words.groupBy(*keys, "_cell").agg(F.bit_or("_bit").alias("_bits"))
-    return words.groupBy(*keys).agg(F.coalesce(F.sum(F.bit_count("_bits")), F.lit(0)).cast("bigint").alias(out))
+    return words.select(*keys, "_cell", "_bits", F.coalesce(F.bit_count("_bits"), F.lit(0)).cast("bigint").alias("_n"))
+
+
+def _bit_of_rank(bits: Column, rank: Column) -> Column:
+    """The place of the set bit of that rank, by halves: the count below decides which half it is in."""
+    at, rest = F.lit(0), rank
+    for half in (32, 16, 8, 4, 2, 1):
+        mask = F.lit((1 << half) - 1).cast("bigint")
+        below = F.bit_count(F.call_function("shiftrightunsigned", bits, at).bitwiseAND(mask)).cast("bigint")
+        above = rest > below
+        at, rest = F.when(above, at + half).otherwise(at), F.when(above, rest - below).otherwise(rest)
+    return at
+
+
+def distinct_per_key(df: DataFrame, keys: Sequence[str], value: str, out: str = "n_distinct") -> DataFrame:
+    """keys, number of different non-null integers in `value`: the counts of a histogram of distinct values, merged.
+
+    A null key is a key of its own; null values do not count, and a key that has no other has 0. Repeated rows change
+    nothing; an empty table gives an empty result.
+    """
+    top = _levels(cut(_words(df, keys, value), "words"), keys)[-1]
+    return top.groupBy(*keys).agg(F.sum("_n").alias(out))
 
 
 def wrong_counts(entries: DataFrame, rows: DataFrame, keys: Sequence[str], count: str, value: str) -> DataFrame:
     """The different keys of `entries` whose `count` is null or not the distinct count of `value` in `rows`.
 
-    An entry without rows should say 0. Repeated entries give one row, and one wrong entry among several of a key is
-    enough. Null keys match null keys.
+    A count n is right if there is a distinct value of rank n, and none of rank n + 1. Both ranks are looked for in the
+    histogram of distinct values; whether a rank is there resolves on the coarsest level, so the finer ones, of which
+    its counts are the sums, are not gone through again. An entry without rows should say 0. Repeated entries give one
+    row, and one wrong entry among several of a key is enough. Null keys match null keys.
     """
-    counted = distinct_per_key(rows, keys, value, "_n")
-    claims = entries.select(*keys, F.col(count).cast("bigint").alias("_count")).distinct()
-    joined = claims.join(counted, _same(claims, counted, keys), "left")
-    wrong = joined.where(~claims["_count"].eqNullSafe(F.coalesce(counted["_n"], F.lit(0))))
-    return wrong.select(*[claims[k] for k in keys]).distinct()
+    claims = entries.select(*keys, F.col(count).cast("bigint").alias("_claim")).distinct()
+    top = _levels(cut(_words(rows, keys, value), "words"), keys)[-1:]
+    ranks = claims.select(*keys, "_claim", F.explode(F.array(F.col("_claim"), F.col("_claim") + 1)).alias("_rank"))
+    found = _resolve(top, ranks.withColumn("_past", F.col("_rank") > F.col("_claim")).where("_rank > 0"), keys)
+    both = claims.withColumn("_past", F.lit(None).cast("boolean")).unionByName(found.select(*keys, "_claim", "_past"))
+    held = both.groupBy(*keys, "_claim").agg(F.coalesce(F.bool_or(~F.col("_past")), F.lit(False)).alias("_last"), F.coalesce(F.bool_or("_past"), F.lit(False)).alias("_more"))
+    right = (F.col("_last") | (F.col("_claim") == 0)) & ~F.col("_more")
+    return held.where(~F.coalesce(right, F.lit(False))).select(*keys).distinct()
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
     """keys, percent, value: the exact `percent` quantile of every key, the value of rank max(1, ceil(n p / 100)).
 
-    Keys holding at most 1 / HOT_PART of the rows are ranked by a sort: none can outweigh a task's share. For the
-    hot ones each (key, percent) has an interval that surely holds the wanted rank; a round counts the rows of each of
-    CELLS parts of every interval (partial counts merge on the map side), and takes the part where the running count
-    reaches the rank. Round by round the interval shrinks to one value, 8 rounds at most for 64-bit values.
-
-    Null values do not count and keys without other values have no row; null keys are keys; equal values are
-    ranked as often as they occur. An empty table gives an empty result.
+    All keys go the same way, through a histogram with one cell to a value and its coarser levels: 8 levels at most for
+    64-bit values. Null values do not count and keys without other values have no row; null keys are keys; equal values
+    are ranked as often as they occur. An empty table gives an empty result.
     """
     if not percents or any(not 0 < p <= 100 for p in percents):
         raise ValueError("percents must lie in 1..100")
-    rows = df.select(*keys, F.col(value).cast("bigint").alias("_v")).where(F.col("_v").isNotNull())
-    counts = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    total = rows.agg(F.count("_v").alias("_t"))
-    hot = cut(counts.where(F.col("_n") * HOT_PART > total.scalar()), "hot-keys")
-    pct = F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("percent")
-    state = hot.select(*keys, pct, "_n", "_lo", "_hi")
-    state = state.select(*keys, "percent", "_lo", "_hi", F.expr("greatest(1L, (_n * percent + 99) div 100)").alias("_rank"))
-    state = _resolve(rows, state, keys)
-    flagged = hot.select(*keys, F.lit(1).alias("_hot"))
-    marked = F.broadcast(flagged)
-    cold = rows.join(marked, _same(rows, flagged, keys), "left_anti")
-    by = Window.partitionBy(*keys)
-    ranked = cold.select(*keys, "_v", F.row_number().over(by.orderBy("_v")).alias("_r"), F.count("_v").over(by).alias("_n"))
-    hit = [F.col("_r") == F.expr(f"greatest(1L, (_n * {int(p)} + 99) div 100)") for p in percents]
-    ranked = ranked.where(reduce(lambda a, b: a | b, hit)).select(*keys, "_v", F.explode(F.array_compact(F.array(*[F.when(h, F.lit(int(p))) for h, p in zip(hit, percents, strict=True)]))).alias("percent"))
-    return state.select(*keys, "percent", F.col("_lo").alias("value")).unionByName(ranked.select(*keys, "percent", F.col("_v").alias("value")))
-
-
-def _resolve(rows: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rounds of refinement; `state` has fewer than HOT_PART keys. Only the number of rounds is taken to the driver.
-
-    The state is stored after each round: it is read twice in the next, and would else be computed twice as often in each.
-    """
-    widest = state.agg(F.max(F.col("_hi").cast("decimal(38,0)") - F.col("_lo"))).first()[0]
-    span = int(widest) + 1 if widest is not None else 1
-    while span > 1:
-        open_ = state.withColumn("_step", F.expr(f"cast(ceil((cast(_hi as decimal(38,0)) - _lo + 1) / {CELLS}.0) as decimal(20,0))"))
-        small = F.broadcast(open_.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "percent", "_lo", "_hi", "_step"))
-        on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        cells = (
-            rows.join(small, on)
-            .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*keys, "percent", F.expr("cast((cast(_v as decimal(38,0)) - _lo) div _step as int)").alias("_c"))
-            .count()
-        )
-        run = Window.partitionBy(*keys, "percent").orderBy("_c")
-        cells = cells.withColumn("_upto", F.sum("count").over(run))
-        found = cells.join(F.broadcast(open_.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}).withColumnRenamed("percent", "_p")), on & (F.col("percent") == F.col("_p")))
-        found = found.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("count") < F.col("_rank")))
-        state = found.select(
-            *keys,
-            "percent",
-            F.expr("cast(_lo + _c * _step as bigint)").alias("_new"),
-            F.expr("cast(least(cast(_hi as decimal(38,0)), _lo + (_c + 1) * _step - 1) as bigint)").alias("_hi"),
-            (F.col("_rank") - (F.col("_upto") - F.col("count"))).alias("_rank"),
-        ).withColumnRenamed("_new", "_lo")
-        state = cut(state, "state")
-        span = -(-span // CELLS)
-    return state
+    values = df.select(*keys, F.col(value).cast("bigint").alias("_cell")).where(F.col("_cell").isNotNull())
+    levels = _levels(cut(values.groupBy(*keys, "_cell").agg(F.count("*").alias("_n")), "values"), keys)
+    total = levels[-1].groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    wanted = total.select(*keys, "_total", F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("percent"))
+    wanted = wanted.select(*keys, "percent", F.expr("greatest(1L, (_total * percent + 99) div 100)").alias("_rank"))
+    return _resolve(levels, wanted, keys).select(*keys, "percent", F.col("_cell").alias("value"))
+
+
+def distinct_quantiles(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int]) -> DataFrame:
+    """As `exact_quantiles`, of the different values of each key, each ranked once: by bitmaps of 64 values."""
+    if not percents or any(not 0 < p <= 100 for p in percents):
+        raise ValueError("percents must lie in 1..100")
+    words = cut(_words(df, keys, value), "words")
+    levels = _levels(words, keys)
+    total = levels[-1].groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    wanted = total.select(*keys, "_total", F.explode(F.array(*[F.lit(int(p)) for p in percents])).alias("percent"))
+    wanted = wanted.select(*keys, "percent", F.expr("greatest(1L, (_total * percent + 99) div 100)").alias("_rank"))
+    found = _resolve(levels, wanted, keys)
+    bits = words.select(*[F.col(k).alias(f"_w{i}") for i, k in enumerate(keys)], F.col("_cell").alias("_word"), "_bits")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_w{i}")) for i, k in enumerate(keys)])
+    hit = found.join(bits, on & (F.col("_cell") == F.col("_word")))
+    return hit.select(*keys, "percent", (F.shiftleft("_cell", WORD_BITS) + _bit_of_rank(F.col("_bits"), F.col("_rank"))).alias("value"))

@@ -28,16 +28,21 @@ def test_distinct_counts_match_brute_force(spark, skewed):
     assert rows(skew.distinct_per_key(df.union(df), ["k"], "v")) == rows(skew.distinct_per_key(df, ["k"], "v"))
 
 
-@pytest.mark.parametrize("hot_part", [1, 20, 1024])
-def test_quantiles_match_brute_force(spark, skewed, hot_part, monkeypatch):
-    """Both ways, the sort of cold keys and the refinement of hot ones, whatever counts as hot."""
-    monkeypatch.setattr(skew, "HOT_PART", hot_part)
-    df = spark.createDataFrame(skewed, "k string, v bigint")
+@pytest.mark.parametrize("bits", [1, 3, 8])
+@pytest.mark.parametrize("distinct", [False, True])
+def test_quantiles_match_brute_force(spark, skewed, bits, distinct, monkeypatch):
+    """However many levels the histogram has."""
+    monkeypatch.setattr(skew, "CELLS_BITS", bits)
+    monkeypatch.setattr(skew, "CELLS", 1 << bits)
+    data = [(k, v) for k, v in skewed if bits == 8 or v is None or abs(v) < 10**6]
+    df = spark.createDataFrame(data, "k string, v bigint")
     want = []
-    for k in {k for k, _ in skewed}:
-        v = sorted(x for kk, x in skewed if kk == k and x is not None)
+    for k in {k for k, _ in data}:
+        v = sorted(x for kk, x in data if kk == k and x is not None)
+        v = sorted(set(v)) if distinct else v
         want += [(k, p, v[max(1, math.ceil(len(v) * p / 100)) - 1]) for p in (1, 50, 90, 100) if v]
-    assert rows(skew.exact_quantiles(df, ["k"], "v", [1, 50, 90, 100])) == sorted(want, key=repr)
+    found = (skew.distinct_quantiles if distinct else skew.exact_quantiles)(df, ["k"], "v", [1, 50, 90, 100])
+    assert rows(found) == sorted(want, key=repr)
 
 
 def test_quantiles_of_an_empty_table_and_bad_percents(spark):
@@ -53,6 +58,10 @@ def test_wrong_counts(spark):
     data = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (1, "a", 6), (1, "b", None), (1, "c", 1), (2, "b", 1), (None, "n", 9)], "p int, t string, d bigint")
     found = skew.wrong_counts(entries.withColumn("d", F.lit("clash")), data, ["p", "t"], "df", "d")
     assert rows(found) == [(1, "b"), (1, "c"), (2, "b")]
+    assert rows(skew.wrong_counts(entries, data.limit(0), ["p", "t"], "df", "d")) == [(1, "a"), (1, "b"), (1, "c"), (2, "b"), (None, "n")]
+    assert skew.wrong_counts(entries.limit(0), data, ["p", "t"], "df", "d").collect() == []
+    negative = spark.createDataFrame([(1, "a", -1), (2, "b", -1)], "p int, t string, df int")
+    assert rows(skew.wrong_counts(negative, data, ["p", "t"], "df", "d")) == [(1, "a"), (2, "b")]
 
 
 @pytest.mark.parametrize(
