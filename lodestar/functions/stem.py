@@ -1,10 +1,11 @@
-"""The stemmer of Porter (1980), applied to the distinct vocabulary and joined back to the tokens."""
+"""The stemmer of Porter (1980), applied to each distinct word of a batch."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,15 +87,16 @@ def stem(word: str) -> str:
 
 
 def stemmed(term: Column) -> Column:
+    """The stem of each word, null for null. No row leaves its place: a batch's distinct words are stemmed once each."""
+
     @F.pandas_udf("string")
     def run(words: pd.Series) -> pd.Series:
-        return words.map(stem, na_action="ignore")
+        codes, distinct = pd.factorize(words)
+        return pd.Series(np.append(np.array([stem(w) for w in distinct], dtype=object), None)[codes])
 
     return run(term)
 
 
 def stem_terms(terms: DataFrame) -> DataFrame:
-    """The table with `term` replaced by its stem: each distinct word goes to Python once."""
-    stems = terms.select("term").distinct().select("term", stemmed(F.col("term")).alias("stem"))
-    kept = [F.col("stem").alias("term") if c == "term" else F.col(c) for c in terms.columns]
-    return terms.join(stems, "term").select(*kept)
+    """The table with `term` replaced by its stem."""
+    return terms.withColumn("term", stemmed(F.col("term")))

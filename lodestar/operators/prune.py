@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import index as ix
 from lodestar.operators import search
+from lodestar.storage import cut
 
 #: Room for rounded scores.
 MARGIN = 1e-5
@@ -35,15 +36,30 @@ def essential_terms(terms: DataFrame, index: ix.Index, k: int = 10, model: str =
     the k-th score."""
     bounded = bounded_terms(terms, index, model)
     theta = thresholds(bounded, index, k, model, strongest)
+    return _marked(bounded, theta).drop("bound")
+
+
+def _marked(bounded: DataFrame, theta: DataFrame) -> DataFrame:
     essential = F.col("cum_bound") >= F.coalesce("theta", F.lit(0.0)) - MARGIN
-    return bounded.join(theta, "qid", "left").select("qid", "term", "qtf", "cum_bound", essential.alias("is_essential"))
+    return bounded.join(theta, "qid", "left").select("qid", "term", "qtf", "bound", "cum_bound", essential.alias("is_essential"))
 
 
 def pruned_top_k(terms: DataFrame, index: ix.Index, k: int = 10, model: str = "bm25", strongest: int = 8) -> DataFrame:
-    """As exhaustive disjunctive top k: candidates come from essential lists, scores from all."""
-    marked = essential_terms(terms, index, k, model, strongest)
-    brought = marked.where("is_essential").join(index.postings.select("term", "doc_id"), "term").select("qid", "doc_id").distinct()
-    main = search.contributions(marked.where("is_essential").select("qid", "term", "qtf"), index, model)
-    rest = search.contributions(marked.where("not is_essential").select("qid", "term", "qtf"), index, model).join(brought, ["qid", "doc_id"], "left_semi")
-    total = main.unionByName(rest).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), search.DIGITS).alias("score"))
+    """As exhaustive disjunctive top k, with less of the lists read.
+
+    Essential lists are scored whole. A document is followed up only if its sum so far and the bounds of all other lists
+    together reach the threshold; of those other lists just the postings of such documents are looked up.
+    """
+    bounded = cut(bounded_terms(terms, index, model), "bounded")
+    theta = cut(thresholds(bounded, index, k, model, strongest), "theta")
+    marked = cut(_marked(bounded, theta), "marked")
+    main = search.contributions(marked.where("is_essential").select("qid", "term", "qtf"), index, model).groupBy("qid", "doc_id").agg(F.sum("part").alias("part"))
+    rest = marked.where("not is_essential").groupBy("qid").agg(F.max("cum_bound").alias("more"))
+    open_ = main.join(rest, "qid", "left").join(theta, "qid", "left")
+    alive = open_.where(F.col("part") + F.coalesce("more", F.lit(0.0)) >= F.coalesce("theta", F.lit(0.0)) - MARGIN)
+    alive = cut(alive.select("qid", "doc_id", "part"), "alive")
+    asked = search.weighted(marked.where("not is_essential").select("qid", "term", "qtf"), index).select("qid", "term", "weight")
+    wanted = alive.select("qid", "doc_id").join(asked, "qid")
+    looked_up = index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", search.part(index, model))
+    total = alive.unionByName(looked_up).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), search.DIGITS).alias("score"))
     return search.top_k(total.where("score > 0"), k)

@@ -2,11 +2,16 @@
 
 A batch is one job: query terms join the postings, contributions are summed per query and document, and a ranked limit
 per query keeps the best. A posting's contribution does not depend on the query but for the number of times the term is
-asked, so it is computed on the side of the postings.
+asked, so it is computed on the side of the postings. While the query terms are few they are broadcast and no posting
+moves; a batch too large for that shuffles postings by term, and the list of a common term is then split between tasks by
+adaptive skew handling, which divides the posting side of such a join and repeats the query side.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +35,13 @@ def known_terms(terms: DataFrame, lexicon: DataFrame) -> DataFrame:
     return terms.join(lexicon.select("term", "df"), "term").select("qid", "term", "qtf", "df")
 
 
-def _weighted(terms: DataFrame, index: ix.Index) -> DataFrame:
+def weighted(terms: DataFrame, index: ix.Index) -> DataFrame:
     """qid, term, df, weight of the known terms."""
     weight = F.col("qtf") * scoring.idf(index.n_docs(), F.col("df"))
     return known_terms(terms, index.lexicon).select("qid", "term", "df", weight.alias("weight"))
 
 
-def _part(index: ix.Index, model: str) -> Column:
+def part(index: ix.Index, model: str) -> Column:
     """TF-IDF needs no document lengths and does not read them."""
     if scoring.check_model(model) == "bm25":
         return scoring.bm25(F.col("tf"), F.col("doc_len"), index.avgdl(), F.col("weight")).alias("part")
@@ -45,18 +50,18 @@ def _part(index: ix.Index, model: str) -> Column:
 
 def contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
     """qid, doc_id, term, part: what each term of a query adds to the score of each document that holds it."""
-    return index.postings.join(_weighted(terms, index), "term").select("qid", "doc_id", "term", _part(index, model))
+    return index.postings.join(weighted(terms, index), "term").select("qid", "doc_id", "term", part(index, model))
 
 
 def conjunctive_contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
     """qid, doc_id, need, part of the documents that hold the rarest known term of the query; need is the number of
     known terms. Only those documents can hold them all, so the lists of the others are not gone through query by query."""
     by = Window.partitionBy("qid")
-    asked = _weighted(terms, index).withColumns({"need": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("df", "term"))})
+    asked = weighted(terms, index).withColumns({"need": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("df", "term"))})
     rare = asked.where("_r = 1").select("qid", "term")
     brought = index.postings.select("term", "doc_id").join(rare, "term").select("qid", "doc_id")
     wanted = brought.join(asked.select("qid", "term", "weight", "need"), "qid")
-    return index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", "need", _part(index, model))
+    return index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", "need", part(index, model))
 
 
 def score(terms: DataFrame, index: ix.Index, model: str = "bm25", conjunctive: bool = False) -> DataFrame:
@@ -87,14 +92,18 @@ def search(spark: SparkSession, index: ix.Index, query: str, k: int = 10, model:
     conjunctive = query.strip().startswith("+")
     if k < 1:
         raise ValueError("k must be at least 1")
-    terms = query_terms(spark.createDataFrame([("q", query)], "qid string, query_text string"), index)
-    words = [r[0] for r in terms.select("term").collect()]
-    near = ix.Index(index.postings.where(F.col("term").isin(words)), index.lexicon.where(F.col("term").isin(words)), index.doc_index, index.stats, index.parsed, index.stop)
+    words = spark.range(1).select(text.tokens(F.lit(query)).alias("w"))
+    if index.parsed:
+        words = ix.parse_terms(words.select(F.explode("w").alias("term")), index.stop).agg(F.collect_list("term").alias("w"))
+    asked = Counter(words.first()[0])
+    terms = spark.createDataFrame([("q", t, n) for t, n in sorted(asked.items())], "qid string, term string, qtf bigint")
+    near = replace(index, postings=index.postings.where(F.col("term").isin(list(asked))), lexicon=index.lexicon.where(F.col("term").isin(list(asked))))
     best = score(terms, near, model, conjunctive).orderBy(F.col("score").desc(), "doc_id").limit(k)
     return best.select("doc_id", F.row_number().over(Window.orderBy(F.col("score").desc(), F.col("doc_id"))).cast("bigint").alias("rank"), "score")
 
 
 def first_document(terms: DataFrame, index: ix.Index) -> DataFrame:
     """qid, doc_id: the least document that any term of the query occurs in."""
-    least = index.postings.groupBy("term").agg(F.min("doc_id").alias("doc_id"))
+    asked = index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    least = asked.groupBy("term").agg(F.min("doc_id").alias("doc_id"))
     return terms.join(least, "term").groupBy("qid").agg(F.min("doc_id").alias("doc_id"))

@@ -11,11 +11,12 @@ from lodestar.functions import codec, scoring, stem, text
 from lodestar.operators import index as ix
 from lodestar.operators import prune, search
 from lodestar.sources import collection, runfile
-from lodestar.storage import shared_dir, table
+from lodestar.storage import children, scratch, shared_dir, table
 
 K = 10
 SMALL_BLOCK_BYTES = 128
-_STORED: dict[tuple[str, str, bool], str] = {}
+_TOP = "top + top div 10 + 2"
+_STORED: dict[tuple, str] = {}
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,13 +31,16 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "queries")
 
 
-def stored_index(spark: SparkSession, sf: str, parsed: bool = False) -> ix.Index:
-    """The index of a dataset's documents in the shared folder, built on first use in an application."""
-    key = (spark.sparkContext.applicationId, sf, parsed)
+def stored_index(spark: SparkSession, sf: str, parsed: bool = False, compressed: bool = False) -> ix.Index:
+    """The index of a dataset's documents in the shared folder, built on first use in an application, and again when
+    the table's files have changed."""
+    files = tuple(children(spark, f"{sf}/documents.parquet"))
+    key = (spark.sparkContext.applicationId, sf, files, parsed, compressed)
     if key not in _STORED:
-        path = f"{shared_dir(spark)}/index-{len(_STORED)}-{abs(hash(key))}"
+        path = f"{shared_dir(spark)}/index-{len(_STORED)}"
         stop = collection.read_stopwords(spark) if parsed else None
-        ix.save(ix.build(_docs(spark, sf), parsed=parsed, stop=stop), path)
+        with scratch(spark):
+            ix.save(ix.build(_docs(spark, sf), parsed=parsed, stop=stop), path, compressed)
         _STORED[key] = path
     return ix.load(spark, _STORED[key])
 
@@ -144,7 +148,9 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 def next_geq(spark: SparkSession, sf: str) -> DataFrame:
     index = stored_index(spark, sf)
-    targets = search.query_terms(_queries(spark, sf)).select("term", F.expr("cast(length(qid) * 37 as bigint)").alias("target")).distinct()
+    # places all over the ids and a little beyond them
+    target = F.expr(f"cast((ascii(term) * 7919 + length(term) * 104729 + length(qid) * 37) % ({_TOP}) as bigint)")
+    targets = search.query_terms(_queries(spark, sf)).crossJoin(F.broadcast(index.doc_index.agg(F.max("doc_id").alias("top")))).select("term", target.alias("target")).distinct()
     return ix.next_at_least(index.postings, targets)
 
 
@@ -152,9 +158,9 @@ def min_docid(spark: SparkSession, sf: str) -> DataFrame:
     return search.first_document(search.query_terms(_queries(spark, sf)), stored_index(spark, sf))
 
 
-def _topk(queries: Callable, model: str, conjunctive: bool = False, parsed: bool = False) -> Callable:
+def _topk(queries: Callable, model: str, conjunctive: bool = False, parsed: bool = False, compressed: bool = False) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return search.search_batch(queries(spark, sf), stored_index(spark, sf, parsed), K, model, conjunctive)
+        return search.search_batch(queries(spark, sf), stored_index(spark, sf, parsed, compressed), K, model, conjunctive)
 
     return run
 
@@ -193,6 +199,10 @@ def maxscore_topk(spark: SparkSession, sf: str) -> DataFrame:
     return prune.pruned_top_k(search.query_terms(_bench(spark, sf)), index, K)
 
 
+def maxscore_query_file_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return prune.pruned_top_k(search.query_terms(_queries(spark, sf)), stored_index(spark, sf), K)
+
+
 def run_file(spark: SparkSession, sf: str) -> DataFrame:
     return runfile.run_lines(_topk(_queries, "bm25")(spark, sf), "bm25")
 
@@ -235,6 +245,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "unknown_terms_and": unknown_terms_and,
     "essential_terms": essential_terms,
     "maxscore_topk": maxscore_topk,
+    "maxscore_query_file_topk": maxscore_query_file_topk,
+    "tfidf_query_file_topk": _topk(_queries, "tfidf"),
+    "bm25_compressed_topk": _topk(_bench, "bm25", compressed=True),
+    "bm25_and_compressed_topk": _topk(_queries, "bm25", True, compressed=True),
     "run_file": run_file,
     "single_query": single_query,
 }
@@ -331,7 +345,7 @@ ORACLES: dict[str, str] = {
         SELECT term, {_ef('u', 'n')} AS ef_bytes, greatest(1, (s + n + 7) // 8) AS unary_bytes FROM a""",
     "codec_roundtrip": f"WITH {_P} SELECT DISTINCT term, true AS ok FROM p",
     "lexicon_lookup": f"WITH {_LEX}, {_query_cte(_BENCH)} SELECT qid, term, qtf, df FROM q JOIN lx USING (term)",
-    "next_geq": f"""WITH {_P}, {_query_cte(_FILE)}, t AS (SELECT DISTINCT term, CAST(len(qid) * 37 AS BIGINT) AS target FROM q)
+    "next_geq": f"""WITH {_P}, {_query_cte(_FILE)}, t AS (SELECT DISTINCT term, CAST((ascii(term) * 7919 + len(term) * 104729 + len(qid) * 37) % (top + top // 10 + 2) AS BIGINT) AS target FROM q, (SELECT max(doc_id) AS top FROM documents))
         SELECT t.term, target, min(doc_id) AS doc_id FROM t LEFT JOIN p ON p.term = t.term AND doc_id >= target GROUP BY ALL""",
     "min_docid": f"WITH {_P}, {_query_cte(_FILE)} SELECT qid, min(doc_id) AS doc_id FROM q JOIN p USING (term) GROUP BY qid",
     "bm25_or_topk": _ranked(_BENCH, "bm25"),
@@ -340,6 +354,10 @@ ORACLES: dict[str, str] = {
     "tfidf_and_topk": _ranked(_FILE, "tfidf", True),
     "bm25_query_file_topk": _ranked(_FILE, "bm25"),
     "maxscore_topk": _ranked(_BENCH, "bm25"),
+    "maxscore_query_file_topk": _ranked(_FILE, "bm25"),
+    "tfidf_query_file_topk": _ranked(_FILE, "tfidf"),
+    "bm25_compressed_topk": _ranked(_BENCH, "bm25"),
+    "bm25_and_compressed_topk": _ranked(_FILE, "bm25", True),
     "unknown_terms_and": _ranked(_PLUS, "tfidf", True),
     "single_term_topk": f"""WITH {_LEX}, q AS (SELECT term, term AS qid FROM lx ORDER BY df DESC, term LIMIT 20),
         s AS (SELECT qid, doc_id, round(bm25, 6) AS score FROM q JOIN sc USING (term)),

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tarfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestar.functions.text import STOPWORDS
+from lodestar.storage import cut
+
 LINE = T.StructType([T.StructField("line", T.StringType())])
 
 
@@ -17,20 +17,27 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-def unpack(archive: str, folder: str, member: str = "collection.tsv") -> str:
-    """Extract the member of that name from a tar archive into a folder all executors can read, streaming; its path.
+def unpack(spark: SparkSession, archive: str, folder: str, member: str = "collection.tsv") -> str:
+    """Copy the member of that name out of a tar archive, compressed with gzip or not, into a folder; its path.
 
-    A tar archive cannot be split, so this is done once, ahead of the distributed read.
+    Both may lie in any file system that Spark reads, and bytes stream from one to the other inside the JVM. A tar archive
+    cannot be split, so this is done once, ahead of the distributed read.
     """
-    os.makedirs(folder, exist_ok=True)
-    target = os.path.join(folder, os.path.basename(member))
-    with tarfile.open(archive, "r|*") as tar:
-        for entry in tar:
-            if entry.isfile() and entry.name == member:
-                with tar.extractfile(entry) as source, open(target, "wb") as out:
-                    while block := source.read(1 << 20):
-                        out.write(block)
-                return target
+    jvm = spark.sparkContext._jvm
+    source, target = jvm.org.apache.hadoop.fs.Path(archive), jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{member.rpartition('/')[2]}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    raw = source.getFileSystem(conf).open(source)
+    try:
+        plain = jvm.java.util.zip.GZIPInputStream(raw) if archive.endswith("gz") else raw
+        tar = jvm.org.apache.commons.compress.archivers.tar.TarArchiveInputStream(plain)
+        while (entry := tar.getNextEntry()) is not None:
+            if not entry.isDirectory() and entry.getName() == member:
+                out = target.getFileSystem(conf).create(target, True)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(tar, out, 1 << 20, False)
+                out.close()
+                return target.toString()
+    finally:
+        raw.close()
     raise FileNotFoundError(f"{member} is not in {archive}")
 
 
@@ -55,11 +62,7 @@ def with_docids(records: DataFrame, order: str) -> DataFrame:
 
     The rows are range-partitioned once; each partition numbers its own and adds the count of those before it.
     """
-    from pyspark.sql import Window
-
     ranged = records.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    from lodestar.storage import cut
-
     stored = cut(ranged, "ranged")
     sizes = stored.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
@@ -76,7 +79,5 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 def read_stopwords(spark: SparkSession, path: str | None = None) -> DataFrame:
     """word: a stop list, one word to a line, or the default list if no path is given."""
     if path is None:
-        from lodestar.functions.text import STOPWORDS
-
         return spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
     return spark.read.text(path).select(F.col("value").alias("word")).where(F.length("word") > 0)

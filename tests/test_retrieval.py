@@ -3,6 +3,7 @@
 import math
 import random
 import tarfile
+import time
 from collections import Counter
 
 import pytest
@@ -47,6 +48,13 @@ def test_tokens(spark, given_text, terms):
     assert df.select(text.tokens(F.col("t")).alias("x")).first().x == terms
 
 
+@pytest.mark.parametrize(("sql", "n"), [("repeat('abcdefgh', 655360)", 0), ("repeat('<', 5242880)", 0), ("repeat('<>', 2621440)", 0), ("concat('>', repeat('<', 2621440))", 0), ("repeat('<a', 2621440)", 2621440), ("repeat('\t', 5242880)", 0), ("repeat('a\u0001', 2621440)", 0), ("repeat('ab ', 1000000)", 1000000)])
+def test_time_of_long_texts_is_linear(spark, sql, n):
+    began = time.time()
+    assert spark.range(1).select(F.size(text.tokens(F.expr(sql))).alias("n")).first().n == n
+    assert time.time() - began < 60
+
+
 def test_stopwords_keep_duplicates_of_others(spark):
     terms = spark.createDataFrame([(1, "the"), (1, "cat"), (1, "cat"), (1, "of")], "doc_id int, term string")
     left = text.without_stopwords(terms, collection.read_stopwords(spark))
@@ -197,6 +205,65 @@ def test_index_is_saved_and_replaced(spark, corpus, tmp_path):
     assert [tuple(r) for r in search.search(spark, back, "red fox").collect()] == want
 
 
+def test_compressed_index_is_saved_and_searched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "BLOCK_BYTES", 64)
+    docs = [(i - 40, " ".join("abcdefgh"[j % 8] * 2 for j in range(i % 11)) + " common" * (1 + i % 3)) for i in range(700)]
+    plain = ix.build(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    ix.save(plain, f"file://{tmp_path}/ix", compressed=True)
+    back = ix.load(spark, f"file://{tmp_path}/ix")
+    assert back.blocks.where("term = 'common'").count() > 20
+    assert sorted(map(tuple, back.postings.collect())) == sorted(map(tuple, plain.postings.collect()))
+    asked = spark.createDataFrame([("1", "aa bb common"), ("2", "common")], "qid string, query_text string")
+    for conjunctive in (False, True):
+        want = sorted(map(tuple, search.search_batch(asked, plain, 9, conjunctive=conjunctive).collect()))
+        assert sorted(map(tuple, search.search_batch(asked, back, 9, conjunctive=conjunctive).collect())) == want
+
+
+def test_a_broken_off_save_leaves_the_index(spark, corpus, tmp_path):
+    _, index = corpus
+    path = f"file://{tmp_path}/ix"
+    ix.save(index, path)
+    index.postings.limit(1).write.parquet(f"{path}/v2/postings")
+    assert ix.load(spark, path).postings.count() == index.postings.count()
+    with pytest.raises(ix.IndexMissing):
+        ix.load(spark, f"file://{tmp_path}/none")
+
+
+@pytest.mark.parametrize("bits", [5, 16])
+def test_a_common_term_is_split(spark, bits, monkeypatch):
+    """Blocks and seeks are the same however narrow the ranges that a task sees."""
+    monkeypatch.setattr(ix, "RANGE_BITS", bits)
+    post = spark.range(0, 9000, 3).select(F.lit("t").alias("term"), F.col("id").alias("doc_id"), F.lit(1).alias("tf"))
+    found = ix.blocks(post).orderBy("block_no").collect()
+    assert [len(r.doc_ids) for r in found] == [54] * 55 + [30] and [i for r in found for i in r.doc_ids] == list(range(0, 9000, 3))
+    few = post.where("doc_id % 1000 = 0").union(spark.createDataFrame([("t", 50_000, 1), ("u", -7, 1)], post.schema))
+    ids = [0, 3000, 6000, 50_000]
+    asked = [("t", x) for x in (-100, 0, 1, 2999, 3000, 3001, 6001, 49_999, 50_000, 50_001, 10**9)] + [("u", -8), ("u", -7), ("u", -6), ("v", 0)]
+    got = {(r.term, r.target): r.doc_id for r in ix.next_at_least(few, spark.createDataFrame(asked, "term string, target bigint")).collect()}
+    assert got == {(t, x): next((i for i in {"t": ids, "u": [-7], "v": []}[t] if i >= x), None) for t, x in asked}
+
+
+def test_intermediate_tables_are_deleted(spark):
+    from lodestar import storage
+
+    there = lambda: {p for p, _, _ in storage.children(spark, storage.shared_dir(spark))}
+    before = there()
+    with storage.scratch(spark):
+        ix.build(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).lexicon.collect()
+        assert there() > before
+    assert there() == before
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from lodestar import storage
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: ""), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(storage.NoSharedFolder):
+        storage.shared_dir(session)
+
+
 def test_parsed_index_stems_queries_too(spark):
     docs = spark.createDataFrame([(1, "running the foxes"), (2, "a runner"), (3, "moon")], "doc_id bigint, text string")
     index = ix.build(docs, parsed=True, stop=collection.read_stopwords(spark))
@@ -220,12 +287,12 @@ def test_sources(spark, tmp_path):
     with tarfile.open(tmp_path / "c.tar.gz", "w:gz") as tar:
         tar.add(tmp_path / "collection.tsv", "other.tsv")
         tar.add(tmp_path / "collection.tsv", "collection.tsv")
-    path = collection.unpack(str(tmp_path / "c.tar.gz"), str(tmp_path / "out"))
+    path = collection.unpack(spark, str(tmp_path / "c.tar.gz"), str(tmp_path / "out"))
     records, rejected = collection.parse_lines(collection.read_lines(spark, path))
     assert sorted(map(tuple, records.select("pid", "text").collect())) == [("1", "2\tx"), ("12", "bar"), ("12", "foo")]
     assert [r.line for r in rejected.collect()] == ["foo"]
     with pytest.raises(FileNotFoundError):
-        collection.unpack(str(tmp_path / "c.tar.gz"), str(tmp_path / "out"), "missing.tsv")
+        collection.unpack(spark, str(tmp_path / "c.tar.gz"), str(tmp_path / "out"), "missing.tsv")
     (tmp_path / "q.tsv").write_text("1\tred fox\nbad\n2\ta\tb\n")
     assert [tuple(r) for r in collection.read_queries(spark, str(tmp_path / "q.tsv")).collect()] == [("1", "red fox")]
     (tmp_path / "stop.txt").write_text("red\n\nfox\n")
@@ -254,8 +321,13 @@ def test_streamed_index_equals_one_build(spark, tmp_path):
     for _ in range(2):  # a second start finds nothing new
         upkeep.feed(stream, f"{tmp_path}/ix", f"{tmp_path}/cp").awaitTermination()
     fed, whole = upkeep.open_index(spark, f"{tmp_path}/ix"), ix.build(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    # a stream that begins anew, with another checkpoint, adds to what is there
+    spark.createDataFrame([(100, "fox new")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/more")
+    more = spark.readStream.schema("doc_id bigint, text string").parquet(f"{tmp_path}/more")
     for table in ("postings", "lexicon", "stats"):
         assert sorted(map(tuple, getattr(fed, table).collect())) == sorted(map(tuple, getattr(whole, table).collect()))
+    upkeep.feed(more, f"{tmp_path}/ix", f"{tmp_path}/cp2").awaitTermination()
+    assert upkeep.open_index(spark, f"{tmp_path}/ix").doc_index.count() == 25
 
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
@@ -268,11 +340,21 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(type(spark), "stop", lambda self: None)
     main(["index", str(tmp_path / "c.tsv"), f"{tmp_path}/ix"])
     assert "indexed 3 documents, rejected 1 lines" in capsys.readouterr().out
-    main(["search", f"{tmp_path}/ix", str(tmp_path / "q.tsv"), f"{tmp_path}/run", "-k", "1"])
+    assert main(["search", f"{tmp_path}/ix", str(tmp_path / "q.tsv"), f"{tmp_path}/run", "-k", "1"]) == 0
+    assert "1 queries" in capsys.readouterr().out
     assert [r.value.split()[2] for r in spark.read.text(f"{tmp_path}/run").collect()] == ["1"]
     monkeypatch.setattr("sys.stdin", io.StringIO("\n+red fox\nq\n"))
     main(["ask", f"{tmp_path}/ix"])
     assert capsys.readouterr().out.startswith("1\t")
+    with tarfile.open(tmp_path / "c.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "c.tsv", "collection.tsv")
+    assert main(["--log", f"{tmp_path}/log", "index", f"{tmp_path}/c.tar.gz", f"{tmp_path}/ix2", "--parse", "--compress"]) == 0
+    assert "-- INFO -- indexed 3 documents" in (tmp_path / "log").read_text()
+    assert main(["search", f"{tmp_path}/none", str(tmp_path / "q.tsv"), f"{tmp_path}/run2"]) == 253
+    assert main(["index", f"{tmp_path}/none.tar.gz", f"{tmp_path}/ix3"]) == 254
+    with pytest.raises(SystemExit) as wrong:
+        main(["search", f"{tmp_path}/ix", "q", "r", "-k", "0"])
+    assert wrong.value.code == 255
 
 
 def test_every_lexicon_term_gets_its_top_k(spark):
