@@ -1,40 +1,85 @@
-"""The N best items of every group by a multiway merge of sorted runs.
+"""The N best items of every group by a multiway merge of stored sorted runs.
 
-A run is what one partition holds, sorted by group, score and item and cut after N items of each group. The runs are
-bucketed by group, and within a bucket they lie group by group and run by run, so a loser tree can merge the runs of
-one group in a single pass: it yields N items and leaves the rest of the group unread. What a group sends to its bucket is at most
-N items from each run, however many millions of items it has.
+A run is what one partition holds, sorted by bucket of the group, group, score and item, cut after N items of each group
+and stored as a file in the shared folder. The task of a bucket opens the runs side by side, each by a cursor that reads a
+row group only when it comes to it, and merges them with a loser tree: after N items of a group every cursor seeks
+to the next group, past row groups whose statistics show that they end before it. So a task holds one row group of
+each run, whatever a group's size, and what a group has beyond its N items in the runs is skipped unread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.storage import fresh
+
+#: Bytes of a row group of a run, before compression: what a cursor holds.
+ROW_GROUP_BYTES = 1 << 20
+
+
+class Run:
+    """A cursor over rows sorted by key, that come in pages; `load(n)` gives the keys of page n, `last(n)` the greatest
+    of them or None if that is not known without loading."""
+
+    def __init__(self, pages: int, load: Callable[[int], list], last: Callable[[int], object | None]):
+        self.pages, self.load, self.last = pages, load, last
+        self.page, self.at, self.keys = -1, 0, []
+        self._turn()
+
+    def _turn(self) -> None:
+        while self.at >= len(self.keys) and self.page + 1 < self.pages:
+            self.page += 1
+            self.keys, self.at = self.load(self.page), 0
+
+    def head(self):
+        return self.keys[self.at] if self.at < len(self.keys) else None
+
+    def step(self) -> None:
+        self.at += 1
+        if self.at >= len(self.keys):
+            self._turn()
+
+    def seek(self, key) -> None:
+        """To the first row whose key is not less."""
+        self.at = bisect_left(self.keys, key, self.at)
+        while self.at >= len(self.keys) and self.page + 1 < self.pages:
+            end = self.last(self.page + 1)
+            if end is not None and end < key:
+                self.page += 1
+                continue
+            self.page += 1
+            self.keys = self.load(self.page)
+            self.at = bisect_left(self.keys, key)
+
 
 class LoserTree:
-    """Tournament over sorted runs: `pop` gives the least head, replaying one path of the tree.
+    """Tournament over runs: `pop` gives the least head, replaying one path of the tree.
 
     Internal nodes hold the loser of their match, the root's winner stands apart. Exhausted runs lose to all others;
     equal keys go to the run that was named first.
     """
 
-    def __init__(self, runs: Sequence[Sequence]):
+    def __init__(self, runs: Sequence[Run]):
         self.runs, self.k = runs, max(1, len(runs))
-        self.at = [0] * len(runs)
+        self.build()
+
+    def build(self) -> None:
+        """Play all matches, as at the start or when runs have been moved by a seek."""
         self.tree = [-1] * self.k
-        if runs:
+        if self.runs:
             self.winner = self._build(1)
 
-    def _head(self, r: int):
-        return self.runs[r][self.at[r]] if self.at[r] < len(self.runs[r]) else None
-
     def _beats(self, a: int, b: int) -> bool:
-        x, y = self._head(a), self._head(b)
+        x, y = self.runs[a].head(), self.runs[b].head()
         if x is None or y is None:
             return y is None and (x is not None or a < b)
         return x < y or (x == y and a < b)
@@ -47,12 +92,15 @@ class LoserTree:
         self.tree[node] = lose
         return win
 
+    def peek(self):
+        return self.runs[self.winner].head() if self.runs else None
+
     def pop(self):
         """The least remaining key, or None at the end."""
-        if not self.runs or (key := self._head(self.winner)) is None:
+        if (key := self.peek()) is None:
             return None
         r = self.winner
-        self.at[r] += 1
+        self.runs[r].step()
         node = (r + self.k) // 2
         while node >= 1:
             if self._beats(self.tree[node], r):
@@ -73,9 +121,8 @@ def latest_scores(hits: DataFrame, group: str, item: str, score: str, at: str, t
     return rows.groupBy("g", "i").agg(F.max(F.struct("t", "b", "s")).alias("m")).select("g", "i", F.col("m.s").alias("s"))
 
 
-def sorted_runs(items: DataFrame, n: int) -> DataFrame:
-    """g, run, neg (the negative score), i: each partition as a run sorted by (g, neg, i), at most `n` of each g."""
-    rows = items.select("g", F.spark_partition_id().alias("run"), (-F.col("s")).alias("neg"), "i")
+def _head_of_groups(n: int):
+    """Cuts sorted rows (bucket, g, neg, i) after `n` of each g."""
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, 0  # the group that the batch before ended in
@@ -83,7 +130,7 @@ def sorted_runs(items: DataFrame, n: int) -> DataFrame:
             m = batch.num_rows
             if not m:
                 continue
-            codes = batch.column(0).dictionary_encode()
+            codes = batch.column(1).dictionary_encode()
             ids = codes.indices.to_numpy()
             starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             rank = np.arange(m) - np.repeat(starts, np.diff(np.r_[starts, m]))
@@ -93,75 +140,98 @@ def sorted_runs(items: DataFrame, n: int) -> DataFrame:
             last, seen = codes.dictionary[int(ids[-1])].as_py(), int(rank[-1]) + 1
             yield batch.filter(pa.array(rank < n))
 
-    return rows.sortWithinPartitions("g", "neg", "i").mapInArrow(head, rows.schema)
+    return head
+
+
+def store_runs(items: DataFrame, n: int, buckets: int) -> list[str]:
+    """The files of the runs of `items` (g, i, s), sorted by (bucket, g, neg, i), neg being the negative score."""
+    bucket = F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int").alias("bucket")
+    rows = items.select(bucket, "g", (-F.col("s")).alias("neg"), "i").sortWithinPartitions("bucket", "g", "neg", "i")
+    path = fresh(items.sparkSession, "runs")
+    rows.mapInArrow(_head_of_groups(n), rows.schema).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    return sorted(items.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+
+
+def open_run(path: str, bucket: int) -> Run:
+    """The rows of one bucket in a stored run, as keys (g, neg, i)."""
+    fs, name = pafs.FileSystem.from_uri(path)
+    file = pq.ParquetFile(fs.open_input_file(name))
+    meta = file.metadata
+
+    def ends(group: int, column: int) -> tuple | None:
+        s = meta.row_group(group).column(column).statistics
+        return (s.min, s.max) if s is not None and s.has_min_max else None
 
+    own = [k for k in range(meta.num_row_groups) if (e := ends(k, 0)) is None or e[0] <= bucket <= e[1]]
 
-def merge_runs(runs: DataFrame, n: int, buckets: int | None = None) -> DataFrame:
-    """g, i, s, rank of the `n` best of each group.
+    def load(page: int) -> list:
+        t = file.read_row_group(own[page])
+        t = t.filter(pc.equal(t.column(0), bucket))
+        return list(zip(*[c.to_pylist() for c in t.columns[1:]], strict=True))
 
-    The runs of a bucket come sorted by (g, run, neg, i). A group that lies in one run is passed on as it is; any
-    other goes through a loser tree, stopped after `n` items. A task holds the runs of one group at a time, at most
-    n items of each.
+    def last(page: int):
+        b, g = ends(own[page], 0), ends(own[page], 1)
+        return (g[1],) if g is not None and b is not None and b[0] == b[1] else None
+
+    return Run(len(own), load, last)
+
+
+class _After:
+    """Greater than every key of its group, less than those of later groups."""
+
+    def __init__(self, group):
+        self.group = group
+
+    def __gt__(self, key) -> bool:
+        return key[0] <= self.group
+
+    def __lt__(self, key) -> bool:
+        return key[0] > self.group
+
+
+def best_of(runs: Sequence[Run], n: int) -> Iterator[tuple]:
+    """g, i, s, rank of the `n` best of each group, group by group."""
+    tree = LoserTree(runs)
+    while (key := tree.peek()) is not None:
+        group, rank = key[0], 0
+        while rank < n and key is not None and key[0] == group:
+            rank += 1
+            tree.pop()
+            yield group, key[2], -key[1], rank
+            key = tree.peek()
+        if key is not None and key[0] == group:
+            after = _After(group)
+            for run in runs:
+                if (head := run.head()) is not None and head[0] == group:
+                    run.seek(after)
+            tree.build()
+
+
+def merge_runs(items: DataFrame, n: int, buckets: int | None = None) -> DataFrame:
+    """g, i, s, rank of the `n` best of each group of `items` (g, i, s).
+
+    The file system of spark.checkpoint.dir must be one that Arrow opens by the same name (a shared mount, HDFS, S3 or
+    GCS). As many runs are open in a task as `items` has partitions.
     """
-    kinds = dict(runs.dtypes)
-    spark = runs.sparkSession
-    placed = runs.repartition(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "g").sortWithinPartitions("g", "run", "neg", "i")
-
-    def best(parts: list[tuple[list, list, list]]) -> tuple[list, list]:
-        """neg and i of the n best of one group, from (run, neg, i) lists in order."""
-        runs_: list[list] = []
-        last = None
-        for rs, negs, items in parts:
-            for r, key in zip(rs, zip(negs, items, strict=True), strict=True):
-                if r != last:
-                    runs_.append([])
-                    last = r
-                runs_[-1].append(key)
-        if len(runs_) == 1:
-            out = runs_[0][:n]
-        else:
-            tree, out = LoserTree(runs_), []
-            while len(out) < n and (key := tree.pop()) is not None:
-                out.append(key)
-        return [k[0] for k in out], [k[1] for k in out]
+    kinds, spark = dict(items.dtypes), items.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = store_runs(items, n, buckets)
+    schema = f"g {kinds['g']}, i {kinds['i']}, s double, rank int"
+    arrow = items.limit(0).select("g", "i").toArrow().schema
+    fields = [("g", arrow.field(0).type), ("i", arrow.field(1).type), ("s", pa.float64()), ("rank", pa.int32())]
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, open_, held = None, None, []
-        for batch in batches:
-            m = batch.num_rows
-            if not m:
-                continue
-            schema = batch.schema
-            codes = batch.column(0).dictionary_encode()
-            ids = codes.indices.to_numpy()
-            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]).tolist()
-            names = codes.dictionary.take(pa.array(ids[starts])).to_pylist()
-            cols = [batch.column(c).to_pylist() for c in (1, 2, 3)]
-            out = ([], [], [], [])
-            for name, a, b in zip(names, starts, [*starts[1:], m], strict=True):
-                if held and name != open_:
-                    emit(out, open_, held)
-                    held = []
-                open_ = name
-                held.append(tuple(c[a:b] for c in cols))
-            if out[0]:
-                yield packed(out, schema)
-        if held:
-            out = ([], [], [], [])
-            emit(out, open_, held)
-            yield packed(out, schema)
-
-    def emit(out, name, held):
-        negs, items = best(held)
-        out[0].extend([name] * len(items))
-        out[1].extend(items)
-        out[2].extend([-x for x in negs])
-        out[3].extend(range(1, len(items) + 1))
-
-    def packed(out, schema):
-        return pa.RecordBatch.from_arrays([pa.array(out[0], schema.field(0).type), pa.array(out[1], schema.field(3).type), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int32())], names=["g", "i", "s", "rank"])
-
-    return placed.mapInArrow(merged, f"g {kinds['g']}, i {kinds['i']}, s double, rank int")
+        for bucket in (b for batch in batches for b in batch.column(0).to_pylist()):
+            out: list[tuple] = []
+            for row in best_of([open_run(f, bucket) for f in files], n):
+                out.append(row)
+                if len(out) == 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+    return spark.range(0, buckets, 1, buckets).mapInArrow(merged, schema)
 
 
 def top_n(hits: DataFrame, group: str, item: str, score: str, at: str, tie: str, n: int = 10) -> DataFrame:
@@ -171,5 +241,5 @@ def top_n(hits: DataFrame, group: str, item: str, score: str, at: str, tie: str,
     """
     if n < 1:
         raise ValueError("n must be positive")
-    best = merge_runs(sorted_runs(latest_scores(hits, group, item, score, at, tie), n), n)
+    best = merge_runs(latest_scores(hits, group, item, score, at, tie), n)
     return best.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank")

@@ -141,12 +141,40 @@ def test_marks_and_stored_state(spark, tmp_path):
 @given(st.lists(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9))), max_size=9))
 def test_loser_tree_merges(runs):
     runs = [sorted(r) for r in runs]
-    tree, out = topn.LoserTree(runs), []
+    tree, out = topn.LoserTree([_run(r, 3) for r in runs]), []
     while (x := tree.pop()) is not None:
         out.append(x)
     assert out == sorted(x for r in runs for x in r)
 
 
+def _run(keys, page, loaded=None, known=True):
+    pages = [keys[k : k + page] for k in range(0, len(keys), page)]
+
+    def load(n):
+        if loaded is not None:
+            loaded.append(n)
+        return pages[n]
+
+    return topn.Run(len(pages), load, lambda n: (pages[n][-1][0],) if known else None)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9), st.integers(0, 9)), max_size=30), max_size=5), st.integers(1, 4), st.booleans())
+def test_merge_of_paged_runs_matches_brute_force(runs, n, known):
+    want = []
+    for g in range(6):
+        own = sorted(x for r in runs for x in r if x[0] == g)[:n]
+        want += [(g, i, -neg, k + 1) for k, (_, neg, i) in enumerate(own)]
+    assert list(topn.best_of([_run(sorted(r), 4, known=known) for r in runs], n)) == want
+
+
+def test_a_seek_passes_pages_unread():
+    loaded = []
+    run = _run([(0, k, k) for k in range(1000)] + [(1, 0, 0)], 10, loaded)
+    assert list(topn.best_of([run, _run([(0, -1, 7)], 10)], 3)) == [(0, 7, 1, 1), (0, 0, 0, 2), (0, 1, -1, 3), (1, 0, 0, 1)]
+    assert loaded == [0, 99, 100] or loaded == [0, 100]
+
+
 HITS = "hit_id bigint, qid string, pid bigint, score double, scored_at timestamp"
 
 
