@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from lodestar.storage import cut, spread
 
-#: A term is common if it holds more than this part of the rows: fewer than HOT_PART terms, however many rows.
-HOT_PART = 1024
+#: A term is common if more rows hold it than one task should get.
+HOT_ROWS = 1 << 18
+#: The list of common terms is broadcast up to this length (some 10 MB).
+HOT_TERMS = 1 << 17
 #: Tokens that one call of the edge builder holds at a time.
 BLOCK_TOKENS = 1 << 18
 
@@ -109,23 +111,27 @@ def weighted(local: DataFrame, amount: str, min_df: int = 2) -> DataFrame:
     """doc, term, weight = `amount` * log10(N / df), rounded to 6 places, for terms of `min_df` documents or more and
     weights above 0.
 
-    `local` has one row for every (doc, term) and should be a stored table: it is read three times. Terms that hold
-    more than 1 / HOT_PART of the rows get their df by a broadcast of that short list and never leave the place
-    where they lie; only rows of the others are shuffled, so no partition holds more than its share of one term.
+    `local` has one row for every (doc, term) and should be a stored table: it is read three times. Rows of terms that
+    more than HOT_ROWS rows hold get their df by a broadcast of that list and never leave the place where they lie; only
+    rows of the others are shuffled, HOT_ROWS of one term at most. If the list is longer than HOT_TERMS, all rows are
+    joined by a shuffle, and adaptive skew handling divides the partitions of common terms.
     """
-    freq = local.groupBy("term").agg(F.count("*").alias("df"))
-    rows = local.agg(F.count("*").alias("n"))
-    hot = cut(freq.where(F.col("df") * HOT_PART > rows.scalar()), "hot-terms")
+    freq = cut(local.groupBy("term").agg(F.count("*").alias("df")), "df")
     if dict(local.dtypes)["doc"] not in ("bigint", "int"):
         total = local.select("doc").distinct().agg(F.count("*").alias("n"))
     else:  # one bit a document, 64 to a word, so that the rows of a document combine before the shuffle
         bit = F.expr("shiftleft(1L, cast(cast(doc as bigint) & 63L as int))")
         cells = local.groupBy(F.shiftright(F.col("doc").cast("bigint"), 6).alias("cell")).agg(F.bit_or(bit).alias("bits"))
         total = cells.agg(F.sum(F.bit_count("bits")).cast("bigint").alias("n"))
-    common = local.join(F.broadcast(hot), "term")
-    rare_df = freq.where((F.col("df") >= min_df) & (F.col("df") * HOT_PART <= rows.scalar()))
-    rare = local.join(F.broadcast(hot.select("term")), "term", "left_anti").join(rare_df, "term")
-    both = common.where(F.col("df") >= min_df).select("doc", "term", amount, "df").unionByName(rare.select("doc", "term", amount, "df"))
+    common = freq.where(F.col("df") > HOT_ROWS)
+    n_common = common.count()
+    if n_common == 0 or n_common > HOT_TERMS:
+        both = local.join(freq.where(F.col("df") >= min_df), "term")
+    else:
+        kept = ["doc", "term", amount, "df"]
+        hot = local.join(F.broadcast(common.where(F.col("df") >= min_df)), "term").select(*kept)
+        rare = local.join(F.broadcast(common.select("term")), "term", "left_anti")
+        both = hot.unionByName(rare.join(freq.where((F.col("df") >= min_df) & (F.col("df") <= HOT_ROWS)), "term").select(*kept))
     weight = F.round(F.col(amount) * F.log10(total.scalar().cast("double") / F.col("df")), 6)
     return both.select("doc", "term", weight.alias("weight")).where(F.col("weight") > 0)
 

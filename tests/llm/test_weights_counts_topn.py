@@ -6,13 +6,11 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
-from compare import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestar.llm import counts, topn, weights
-from lodestar.llm.queries import QUERIES
 
 T1, T2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 POSTINGS = "docid bigint, term string, tf int, written_at timestamp"
@@ -28,9 +26,10 @@ def test_latest_postings(spark):
     assert rows(got) == [(1, "a", 5), (1, "b", 3), (2, "d", 4)]
 
 
-@pytest.mark.parametrize("hot_part", [2, 1024])
-def test_distinctive_postings_match_brute_force(spark, hot_part, monkeypatch):
-    monkeypatch.setattr(weights, "HOT_PART", hot_part)
+@pytest.mark.parametrize(("hot_rows", "hot_terms"), [(10, 100), (10, 1), (1 << 18, 100)])
+def test_distinctive_postings_match_brute_force(spark, hot_rows, hot_terms, monkeypatch):
+    monkeypatch.setattr(weights, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(weights, "HOT_TERMS", hot_terms)
     rnd = random.Random(5)
     tf = {(d, t): rnd.randint(1, 4) for d in range(-3, 40) for t in rnd.sample("the the2 of fox dog cat red sun zoo ox".split(), 4)}
     tf |= {(d, "the"): 1 for d in range(-3, 40)} | {(99, "alone"): 3}
@@ -103,38 +102,58 @@ def _state(data):
     return sorted((t, occ[t], rec[t]) for t in occ)
 
 
-def test_deltas_reach_the_same_state_as_a_full_count(spark):
-    rnd = random.Random(7)
+def _counts(store):
+    return rows(counts.term_counts(store.counts())), store.counts().where("term is null").first().records
+
 
-    def table(data):
-        return spark.createDataFrame(list(data.items()), "key string, tokens array<string>")
-
-    data = {str(i): [rnd.choice("abcdef") for _ in range(rnd.randint(0, 6))] or None for i in range(40)}
-    data["0"] = ["a", None, "a"]
-    state = counts.merge(None, [counts.signed_deltas(None, table(data))])
-    for step in range(3):
-        changed = {k: data[k] for k in rnd.sample(sorted(data), 8)}
-        after = {k: [rnd.choice("efgh") for _ in range(3)] for k in list(changed)[:5]} | {f"new{step}": ["n", "a"]}
-        state = counts.merge(state, [counts.signed_deltas(table(changed), table(after))])
-        for k in changed:
+def test_batches_reach_the_same_state_as_a_full_count(spark, tmp_path):
+    """Added, changed and deleted records, repeated rows, rows older than what is there."""
+    rnd = random.Random(7)
+    store, data, time = counts.Store(spark, f"file://{tmp_path}/s"), {}, 0
+    for step in range(4):
+        batch, gone = [], []
+        for k in [str(i) for i in range(30)] if step == 0 else [*rnd.sample(sorted(data), 6), f"new{step}"]:
+            time += 1
+            tokens = [rnd.choice(["a", "b", "c", f"d{step}", None]) for _ in range(rnd.randint(1, 5))]
+            batch += [(k, tokens, datetime(2024, 1, 1 + step, 0, 0, time))] * 2 + [(k, None, None), (k, ["old"], datetime(2020, 1, 1))]
+            data[k] = tokens
+        if step:
+            gone = rnd.sample(sorted(data), 2)
+        deleted = spark.createDataFrame([(k,) for k in [*gone, "never"]], "key string")
+        store.apply(spark.createDataFrame([*batch, (None, ["z"], T1), (f"empty{step}", [], T1)], RECORDS), "pid", "tokens", "parsed_at", deleted if step else None)
+        for k in gone:
             del data[k]
-        data |= after
-    assert rows(counts.term_counts(state)) == _state(data)
-    assert state.where("term is null").first().records == len(data)
-    gone = counts.merge(state, [counts.signed_deltas(table(data), None)])
-    assert rows(counts.term_counts(gone)) == []
+        data[f"empty{step}"] = None
+        assert _counts(store) == (_state(data), len(data))
+    assert store.apply(spark.createDataFrame([], RECORDS), "pid", "tokens", "parsed_at") == [0]
+    assert _counts(store) == (_state(data), len(data))
+    store.apply(spark.createDataFrame([], RECORDS), "pid", "tokens", "parsed_at", spark.createDataFrame([(k,) for k in data], "key string"))
+    assert _counts(store) == ([], 0)
     with pytest.raises(ValueError):
         counts.signed_deltas(None, None)
 
 
-def test_marks_and_stored_state(spark, tmp_path):
-    data = [(str(i), ["the"] + (["mid"] if i < 4 else []) + (["few"] if i < 2 else [])) for i in range(10)] + [("x", None)]
-    df = spark.createDataFrame(data, "key string, tokens array<string>")
-    state = counts.merge(None, [counts.signed_deltas(None, df)])
-    counts.save(state, f"file://{tmp_path}/s", 4)
-    back = counts.marked(counts.load(spark, f"file://{tmp_path}/s"))
-    assert {r.term: r.mark for r in back.collect()} == {"the": "common", "mid": None, "few": "rare"}
-    assert counts.marked(counts.merge(None, [counts.signed_deltas(None, df.limit(0))])).collect() == []
+def test_a_batch_rewrites_only_the_parts_of_its_terms(spark, tmp_path):
+    store = counts.Store(spark, f"file://{tmp_path}/s")
+    first = [(str(i), [f"t{j}" for j in range(i, i + 30)], T1) for i in range(40)]
+    store.apply(spark.createDataFrame(first, RECORDS), "pid", "tokens", "parsed_at")
+    before = store._version()[1]
+    touched = store.apply(spark.createDataFrame([("x", ["t3", "t4"], T2)], RECORDS), "pid", "tokens", "parsed_at")
+    after = store._version()[1]
+    assert len(before) == counts.LEAST_PARTS and len(touched) <= 3
+    assert {p for p in after if after[p] != before[p]} == set(touched)
+    # a batch that was broken off before its manifest is not seen
+    state = _counts(store)
+    spark.range(1).write.parquet(f"file://{tmp_path}/s/counts-3/part=0")
+    assert _counts(store) == state
+
+
+def test_marks(spark, tmp_path):
+    data = [(str(i), ["the"] + (["mid"] if i < 4 else []) + (["few"] if i < 2 else []), T1) for i in range(10)] + [("x", None, T1)]
+    store = counts.Store(spark, f"file://{tmp_path}/s")
+    assert store.counts().collect() == []
+    store.apply(spark.createDataFrame(data, RECORDS), "pid", "tokens", "parsed_at")
+    assert {r.term: r.mark for r in counts.marked(store.counts()).collect()} == {"the": "common", "mid": None, "few": "rare"}
 
 
 @settings(max_examples=200, deadline=None)
@@ -217,11 +236,3 @@ def test_top_n_groups_across_batches(spark):
         assert rows(got) == sorted(want, key=repr)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-
-
-def test_incremental_counts_merge_into_the_stored_parts(spark, monkeypatch):
-    paths, load = [], counts.load
-    monkeypatch.setattr(counts, "load", lambda s, path: paths.append(path) or load(s, path))
-    QUERIES["p4_incremental"](spark, SF)
-    assert len(paths) == 1
-    assert len(load(spark, paths[0]).inputFiles()) == counts.PARTS
