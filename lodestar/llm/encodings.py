@@ -7,24 +7,37 @@ record, the posterior of every chain (none being one of them) and re-estimates f
 chains and the pair model, the latter from the texts as the posteriors say they were. So a single odd letter is weak
 evidence in one record, but strong once other records of the source show the same chain.
 
-The statistics of a round are of fixed size, whatever the data: pair and character counts are hashed into PAIRS and
-SINGLES cells, sources into SOURCES groups. Only these are sent to the driver and back.
+What may stand behind each token is worked out once: records are stored in chunks that hold their different non-ASCII
+tokens, the texts that the chains make of these, and which record has which. A round reads the chunks and computes with
+whole arrays: the log P of all those texts, posteriors, and weighted counts. Texts in lower case have many readings, of
+which the most probable is chosen; so the chains of other records are settled first, and the pair model with them.
+
+Pair and character counts are hashed into PAIRS and SINGLES cells, whatever the data; only these go to the driver and back.
+Shares are kept for each source and field; up to GROUPS of them travel with the tasks, more are joined to the chunks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.storage import cut, spread
+from lodestar.storage import cut, spread, width
 
-PAIRS, SINGLES, SOURCES = 1 << 18, 1 << 14, 256
+PAIRS, SINGLES = 1 << 18, 1 << 14
+#: Pairs of source and field whose shares the driver holds, half a kilobyte each.
+GROUPS = 1 << 14
+#: Records and characters of a chunk.
+CHUNK_RECORDS, CHUNK_CHARS = 4096, 1 << 21
+#: Cells of a vector that is summed up in one piece.
+SLICE = 1 << 12
 #: Shares of a round's first guess: a record is garbled, and lost beyond any chain. The first is far too high on
 #: purpose: the first pair model was counted on garbled text too and is biased the other way. The second is low, so that
 #: a text is not called lost for being rare; both are re-estimated.
@@ -42,6 +55,8 @@ PRIOR_RECORDS = 50.0
 #: Within a garbled record a token may still be sound.
 SOUND = 0.1
 NONE, LOST_CHAIN, REPLACED = "none", "lost", "replaced"
+#: Of a weight that a sum in double precision does not notice, the logarithm.
+NOTHING = -40.0
 
 #: Encodings read as another, as (written, read) in Python's names.
 STEPS = (
@@ -76,6 +91,7 @@ class Codec:
 
     def __init__(self, written: str, read: str):
         self.written, self.read = written, read
+        self.widths, self.read_as = (1, 2, 3, 4) if written == "utf-8" else (1, 2), {}
         if read not in _MULTI:
             self.byte = {c: b for b, c in reversed(list(enumerate(_table(read))))} | {chr(b): b for b in range(128)}
             for b in range(128, 160):
@@ -146,7 +162,7 @@ class Codec:
                 beam = [(own[0][1], own[0][0], beam[0])]
                 continue
             beam = _best((x[0] + price + pair.step(x[1], c), c, x) for x in beam for c, price in own)
-        return _text(_best((x[0] + pair.step(x[1], " "), x[1], x[2]) for x in beam)[0])
+        return _text(_top((x[0] + pair.step(x[1], " "), x[1], x[2]) for x in beam))
 
     def _sizes(self, lead: int) -> tuple[int, ...]:
         if lead < 0x80:
@@ -155,33 +171,38 @@ class Codec:
             return (2,) if 0xC2 <= lead < 0xE0 else (3,) if 0xE0 <= lead < 0xF0 else (4,) if 0xF0 <= lead < 0xF5 else ()
         return (1, 2) if self.written == "shift_jis" and 0xA1 <= lead < 0xE0 else (2,)
 
+    def _readings(self, own: tuple[tuple[int, ...], ...]) -> list[str]:
+        """The characters that one byte of each of these options in a row may have been."""
+        got = self.read_as.get(own)
+        if got is None:
+            heads = [bytes([b]) for b in own[0] if len(own) in self._sizes(b)]
+            for more in own[1:]:
+                heads = [h + bytes([b]) for h in heads for b in more if b >= 0x40]
+            got = [c for h in heads if (c := _decoded(h, self.written)) is not None]
+            if len(self.read_as) < 100_000:
+                self.read_as[own] = got
+        return got
+
     def _beam_multi(self, options: list[tuple[int, ...]], pair: PairModel, inner: Codec | None) -> str | None:
         """The most probable text whose bytes are among the options. But for UTF-8, where a torn sequence would prove
         nothing, a byte may have lost its other half, at a price."""
-        n, torn = len(options), self.written != "utf-8"
+        n, torn, step, memo = len(options), self.written != "utf-8", pair.step, pair.memo
         beams: list[list[tuple]] = [[] for _ in range(n + 1)]
         beams[0] = [_START]
         for i in range(n):
             if not beams[i]:
                 continue
-            kept = beams[i] = _best(beams[i])
-            for lead in options[i]:
-                for size in self._sizes(lead):
-                    if i + size > n:
-                        continue
-                    heads = [bytes([lead])]
-                    for own in options[i + 1 : i + size]:
-                        heads = [h + bytes([b]) for h in heads for b in own if b >= 0x40]
-                    for h in heads:
-                        try:
-                            c = h.decode(self.written)
-                        except UnicodeDecodeError:
-                            continue
-                        if len(c) == 1 and (inner is None or c in inner.byte):
-                            beams[i + size] += [(x[0] + pair.step(x[1], c), c, x) for x in kept]
+            kept = beams[i] = beams[i] if len(beams[i]) == 1 else _best(beams[i])
+            for size in self.widths:
+                for c in self._readings(tuple(options[i : i + size])) if i + size <= n else ():
+                    if inner is None or c in inner.byte:
+                        ahead = beams[i + size]
+                        for x in kept:
+                            known = memo.get((x[1], c))
+                            ahead.append((x[0] + (step(x[1], c) if known is None else known), c, x))
             if torn and options[i][0] >= 0x80:
                 beams[i + 1] += [(x[0] + TORN, TORN_MARK, x) for x in kept]
-        return _text(_best((x[0] + pair.step(x[1], " "), x[1], x[2]) for x in beams[n])[0]) if beams[n] else None
+        return _text(_top((x[0] + pair.step(x[1], " "), x[1], x[2]) for x in beams[n])) if beams[n] else None
 
 
 #: The beginning of a way through the choices: log P so far, last character, what came before.
@@ -189,13 +210,28 @@ _START = (0.0, "", None)
 
 
 def _best(ways) -> list[tuple]:
-    """The most probable way to each last character, the best first: what follows depends on nothing else. The options at
-    a place bound their number."""
+    """The most probable way to each last character: what follows depends on nothing else. The options at a place bound
+    their number."""
     best: dict[str, tuple] = {}
     for w in ways:
-        if w[1] not in best or w[0] > best[w[1]][0]:
+        old = best.get(w[1])
+        if old is None or w[0] > old[0]:
             best[w[1]] = w
-    return sorted(best.values(), key=lambda w: (-w[0], w[1]))
+    return list(best.values())
+
+
+def _top(ways) -> tuple:
+    """The most probable of all, of equals the one that ends in the smaller character."""
+    return min(ways, key=lambda w: (-w[0], w[1]))
+
+
+def _decoded(head: bytes, written: str) -> str | None:
+    """The one character that the bytes stand for."""
+    try:
+        c = head.decode(written)
+    except UnicodeDecodeError:
+        return None
+    return c if len(c) == 1 else None
 
 
 def _text(way: tuple) -> str:
@@ -250,8 +286,10 @@ def undo(token: str, chain: str, folded: bool, pair: PairModel) -> str | None:
 _NOISE = {c for t in ("cp1252", "latin_1", "mac_roman", "cp437", "cp850") for b in range(128, 256) for c in (_table(t)[b], _table(t)[b].lower())}
 
 
-def _cell(prev: str, cur: str) -> int:
-    return (ord(prev) * 0x9E3779B1 ^ ord(cur) * 0x85EBCA6B) % 0xFFFFFFFB & (PAIRS - 1) if prev else ord(cur) * 0x2545F491 % 0xFFFFFFFB & (PAIRS - 1)
+#: Place of each chain in a vector of shares; none, lost and replaced follow.
+PLACE = {c: i for i, c in enumerate([*CHAINS, NONE, LOST_CHAIN, REPLACED])}
+NAMES = list(PLACE)
+N_CHAINS = len(CHAINS)
 
 
 @dataclass
@@ -267,16 +305,32 @@ class PairModel:
             self.memo[""] = max(1.0, float(self.singles.sum()))
         return self.memo[""]
 
+    def steps(self, codes: np.ndarray) -> np.ndarray:
+        """log P of each character of a sequence of code points but the first."""
+        prev, cur, total = codes[:-1], codes[1:], self.total()
+        before = self.singles[prev % SINGLES].astype(float)
+        single = np.maximum(0.0, self.singles[cur % SINGLES] - DISCOUNT) / total
+        follow = np.maximum(0.0, self.pairs[_cells(prev, cur)] - DISCOUNT) / np.maximum(before, 1e-300)
+        trust = 0.9 * before / (before + 20.0)
+        return np.log(trust * np.minimum(1.0, np.where(before > 0, follow, 0.0)) + (1 - trust) * single * 0.95 + 1e-7)
+
+    def scores(self, stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P of texts laid end to end as `_stream` does."""
+        if not len(sizes):
+            return np.zeros(0)
+        return np.add.reduceat(self.steps(stream), np.cumsum(sizes + 1) - sizes - 1)
+
     def step(self, prev: str, cur: str) -> float:
         got = self.memo.get((prev, cur))
         if got is None:
-            before = self.singles[ord(prev or " ") % SINGLES]
-            total = self.total()
-            single = max(0.0, self.singles[ord(cur) % SINGLES] - DISCOUNT) / total
-            follow = max(0.0, self.pairs[_cell(prev or " ", cur)] - DISCOUNT) / before if before > 0 else 0.0
-            trust = before / (before + 20.0)
-            got = math.log(trust * 0.9 * min(1.0, follow) + (1 - trust * 0.9) * single * 0.95 + 1e-7)
-            if len(self.memo) < 400_000:
+            a, b = ord(prev or " "), ord(cur)
+            before = float(self.singles[a % SINGLES])
+            single = max(0.0, float(self.singles[b % SINGLES]) - DISCOUNT) / self.total()
+            cell = (a * 0x9E3779B1 ^ b * 0x85EBCA6B) % 0xFFFFFFFB & (PAIRS - 1)
+            follow = max(0.0, float(self.pairs[cell]) - DISCOUNT) / before if before > 0 else 0.0
+            trust = 0.9 * before / (before + 20.0)
+            got = math.log(trust * min(1.0, follow) + (1 - trust) * single * 0.95 + 1e-7)
+            if len(self.memo) < 1_000_000:
                 self.memo[(prev, cur)] = got
         return got
 
@@ -287,11 +341,12 @@ class PairModel:
             prev = c
         return total + step(prev, " ")
 
-    def noise(self, token: str) -> float:
-        """log P of a token whose non-ASCII characters are noise, any single byte as Western encodings show it, and the
+    def noise(self, stream: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log P of texts whose non-ASCII characters are noise, any single byte as Western encodings show it, and whose
         others are drawn one by one."""
-        total = self.total()
-        return sum(math.log(self.singles[ord(c)] / total + 1e-7) if c.isascii() else -5.5 if c in _NOISE else -16.0 for c in token + " ")
+        cur = stream[1:]
+        plain = np.log(self.singles[cur % SINGLES] / self.total() + 1e-7)
+        return np.add.reduceat(np.where(cur < 128, plain, np.where(np.isin(cur, _NOISE_CODES), -5.5, -16.0)), np.cumsum(sizes + 1) - sizes - 1)
 
     def __getstate__(self):
         return self.pairs.astype(np.float32), self.singles.astype(np.float32)
@@ -301,135 +356,348 @@ class PairModel:
         self.memo = {}
 
 
-def _count(token: str, weight: float, pairs: np.ndarray, singles: np.ndarray) -> None:
-    prev = " "
-    for c in token + " ":
-        pairs[_cell(prev, c)] += weight
-        singles[ord(c) % SINGLES] += weight
-        prev = c
+_NOISE_CODES = np.array(sorted(map(ord, _NOISE)))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts without spaces, laid end to end with a space before, between and after; their sizes."""
+    return _codes(" " + " ".join(texts) + " ") if texts else np.full(1, 32), np.array([len(t) for t in texts], np.int64)
+
+
+def _cells(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+    mixed = (prev.astype(np.uint64) * np.uint64(0x9E3779B1)) ^ (cur.astype(np.uint64) * np.uint64(0x85EBCA6B))
+    return (mixed % np.uint64(0xFFFFFFFB)).astype(np.int64) & (PAIRS - 1)
+
+
+def _counted(stream: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Pair counts, then character counts, of each step of a stream with its weight."""
+    pairs = np.bincount(_cells(stream[:-1], stream[1:]), weights, PAIRS)
+    return np.r_[pairs, np.bincount(stream[1:] % SINGLES, weights, SINGLES)]
+
+
+def _repair(token: str, chain: str, folded: bool, pair: PairModel) -> str | None:
+    """What the chain makes of a token whose characters it could have left."""
+    t = undo(token, chain, folded, pair)
+    return t if t and not _CONTROL.search(t) and " " not in t and 2 * t.count(TORN_MARK) < len(t) else None
+
+
+def _possible(token: str, folded: bool) -> list[str]:
+    """The chains that may have made the token, by its characters."""
+    wide = _wide(token)
+    chains = [c for read, chains in _BY_READ.items() if _readable(token, read, folded) for c in chains]
+    return [c for c in chains if wide or CHAINS[c][0][0] not in _MULTI or CHAINS[c][0][0] == "utf-8"]
+
+
+def _repairs(token: str, folded: bool, pair: PairModel) -> dict[str, str]:
+    """What each chain that may have made the token makes of it."""
+    made = {c: _repair(token, c, folded, pair) for c in _possible(token, folded)}
+    return {c: t for c, t in made.items() if t is not None}
+
+
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
+
+
+def _price(token: str, text: str, chain: str, folded: bool) -> float:
+    """What a repair costs besides its log P."""
+    hidden = _CODECS[CHAINS[chain][0]].price(token, text) if folded and len(CHAINS[chain]) == 1 else 0.0
+    return TORN * text.count(TORN_MARK) + hidden
+
+
+def _tokens(text: str) -> list[str]:
+    return [t for t in text.replace("\t", " ").split(" ") if t]
 
 
 @dataclass
-class Judge:
-    """Posterior of the chains for a record, given the pair model and the shares of the chains by group."""
+class Chunk:
+    """Records with their odd tokens: (rec, tok, times) says how often record `rec` has token `tok`; candidate k says
+    that chain `chain[k]` makes text `text[k]` of token `tok[k]`."""
+
+    rows: bytes
+    folded: bool
+    groups: list[tuple[str | None, str]]
+    group: np.ndarray
+    replaced: np.ndarray
+    tokens: tuple[np.ndarray, np.ndarray]
+    held: np.ndarray
+    texts: tuple[np.ndarray, np.ndarray]
+    made: np.ndarray
+    price: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, repairs: Callable[[str, bool], list[tuple[int, str, float]]]) -> Chunk:
+        """batch: text, source, kind, folded (all alike), and other columns; repairs: (place of the chain, text, price) of
+        each repair of a token."""
+        texts, sources, kinds = (batch.column(k).to_pylist() for k in range(3))
+        folded = bool(batch.num_rows and batch.column(3)[0].as_py())
+        number: dict[str, int] = {}
+        groups: dict[tuple, int] = {}
+        held, group = [], []
+        for r, t in enumerate(texts):
+            own: dict[int, int] = {}
+            for w in _tokens(t):
+                if not w.isascii():
+                    k = number.setdefault(w, len(number))
+                    own[k] = own.get(k, 0) + 1
+            held += [(r, k, n) for k, n in own.items()]
+            group.append(groups.setdefault((sources[r], kinds[r]), len(groups)))
+        made, price, place = [], [], {}
+        for w, k in number.items():
+            for chain, t, cost in repairs(w, folded):
+                made.append((k, chain, place.setdefault(t, len(place))))
+                price.append(cost)
+        shape = lambda x: np.array(x, np.int32).reshape(-1, 3)
+        replaced = np.array(["\ufffd" in t for t in texts], bool)
+        kept = pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[4:]], names=[str(k) for k in range(batch.num_columns - 3)])
+        ipc = pa.BufferOutputStream()
+        with pa.ipc.new_stream(ipc, kept.schema) as out:
+            out.write_batch(kept)
+        return cls(ipc.getvalue().to_pybytes(), folded, list(groups), np.array(group, np.int32), replaced, _stream(list(number)), shape(held), _stream(list(place)), shape(made), np.array(price))
+
+    def batch(self) -> pa.RecordBatch:
+        """text and the other columns."""
+        return pa.ipc.open_stream(self.rows).read_next_batch()
+
+    def posteriors(self, pair: PairModel, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Posterior of each chain for each record, given the shares of its group; which candidates are better than
+        their token; the tokens' log P."""
+        p = pair.scores(*self.tokens)
+        tok, chain, text = self.made.T
+        q = pair.scores(*self.texts)[text] + self.price
+        gain = np.zeros((len(p), N_CHAINS))
+        gain[tok, chain] = np.logaddexp(math.log(1 - SOUND) + q, math.log(SOUND) + p[tok]) - p[tok]
+        can = np.zeros((len(p), N_CHAINS), bool)
+        can[tok, chain] = True
+        rec, tok_, times = self.held.T
+        starts = np.flatnonzero(np.r_[True, rec[1:] != rec[:-1]])
+        as_is = np.add.reduceat(p[tok_] * times, starts)
+        lost = np.add.reduceat(np.maximum(p + math.log(SOUND), pair.noise(*self.tokens))[tok_] * times, starts)
+        score = np.full((len(self.group), len(PLACE)), -np.inf)
+        own = shares[self.group]
+        by_chain = np.add.reduceat(gain[tok_] * times[:, None], starts) + as_is[:, None] + np.log(np.maximum(own[:, :N_CHAINS], 1e-9))
+        score[:, :N_CHAINS] = np.where(np.logical_or.reduceat(can[tok_], starts), by_chain, -np.inf)
+        score[:, PLACE[NONE]] = as_is + np.log(own[:, PLACE[NONE]])
+        score[:, PLACE[LOST_CHAIN]] = lost + np.log(np.where(own[:, PLACE[LOST_CHAIN]] > 0, own[:, PLACE[LOST_CHAIN]], LOST))
+        score -= score.max(1, keepdims=True)
+        weight = np.where(score > NOTHING, np.exp(score), 0.0)
+        weight /= weight.sum(1, keepdims=True)
+        weight[self.replaced] = np.eye(len(PLACE))[PLACE[REPLACED]]
+        return weight, q > p[tok], p
+
+    def counts(self, weight: np.ndarray, better: np.ndarray) -> np.ndarray:
+        """Pair and character counts of the odd tokens, as the posteriors say they were."""
+        rec, tok_, times = self.held.T
+        order = np.argsort(tok_, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(tok_[order]) > 0])
+        by = np.add.reduceat(weight[rec[order], : N_CHAINS + 1] * times[order, None], starts)
+        tok, chain, text = self.made[better].T
+        moved = by[tok, chain]
+        sound = by.sum(1) - np.bincount(tok, moved, len(by))
+        told = np.bincount(text, moved, len(self.texts[1]))
+        return _counted(self.tokens[0], np.repeat(sound, self.tokens[1] + 1)) + (_counted(self.texts[0], np.repeat(told, self.texts[1] + 1)) if len(told) else 0.0)
+
+
+def restore(text: str, chain: str, folded: bool, pair: PairModel) -> str:
+    out = []
+    for part in text.split(" "):
+        for n, t in enumerate(part.split("\t")):
+            r = _repair(t, chain, folded, pair) if not t.isascii() and chain in _possible(t, folded) else None
+            better = r is not None and math.log(1 - SOUND) + pair(r) + _price(t, r, chain, folded) > math.log(SOUND) + pair(t)
+            out.append(("\t" if n else " " if out else "") + (r if better else t))
+    return "".join(out)
 
-    pair: PairModel
-    shares: dict[tuple[int, str], dict[str, float]]
-    pooled: dict[str, float]
-    memo: dict = field(default_factory=dict)
 
-    def repairs(self, token: str, folded: bool) -> dict[str, tuple[str, float]]:
-        got = self.memo.get((token, folded))
-        if got is None:
-            got, seen = {}, {}
-            wide = _wide(token)
-            for chain in [c for read, chains in _BY_READ.items() if _readable(token, read, folded) for c in chains]:
-                if not wide and CHAINS[chain][0][0] in _MULTI and CHAINS[chain][0][0] != "utf-8":
-                    continue
-                t = undo(token, chain, folded, self.pair)
-                if t is not None and not any(c < " " or "\x7f" <= c < "\xa0" for c in t) and 2 * t.count(TORN_MARK) < len(t):
-                    if t not in seen:
-                        seen[t] = self.pair(t) + TORN * t.count(TORN_MARK)
-                    hidden = _CODECS[CHAINS[chain][0]].price(token, t) if folded and len(CHAINS[chain]) == 1 else 0.0
-                    got[chain] = (t, seen[t] + hidden)
-            if len(token) < 200 and len(self.memo) < 100_000:
-                self.memo[(token, folded)] = got
-        return got
+def _first_shares() -> np.ndarray:
+    return np.array([GARBLED / N_CHAINS] * N_CHAINS + [1 - GARBLED - LOST, LOST, 0.0])
+
+
+#: The sums of a round: `what` is counts (in slices, the number being `name`), total or group (shares by source and kind).
+_SUMS = "what string, name string, kind string, vector binary"
 
-    def __call__(self, text: str, group: int, kind: str, folded: bool) -> tuple[dict[str, float], list[tuple[str, dict]]]:
-        """The posteriors, and the tokens with their repairs. A replacement character settles it."""
-        tokens = [(t, {} if t.isascii() else self.repairs(t, folded)) for t in text.replace("\t", " ").split(" ") if t]
-        if "�" in text:
-            return {REPLACED: 1.0}, tokens
-        share = self.shares.get((group, kind), self.pooled)
-        odd = [(t, r, self.pair(t)) for t, r in tokens if not t.isascii()]
-        as_is = sum(p for _, _, p in odd)
-        score = {NONE: math.log(share.get(NONE, 0.5)) + as_is}
-        for chain in {c for _, r, _ in odd for c in r}:
-            total = 0.0
-            for _, r, p in odd:
-                if chain in r:
-                    a, b = math.log(1 - SOUND) + r[chain][1], math.log(SOUND) + p
-                    total += max(a, b) + math.log1p(math.exp(-abs(a - b)))
-                else:
-                    total += p
-            score[chain] = math.log(share.get(chain, 0) or 1e-9) + total
-        score[LOST_CHAIN] = math.log(share.get(LOST_CHAIN, 0) or LOST) + sum(max(p + math.log(SOUND), self.pair.noise(t)) for t, _, p in odd)
-        top = max(score.values())
-        weights = {c: math.exp(s - top) for c, s in score.items() if s > top - 30}
-        whole = sum(weights.values())
-        return {c: w / whole for c, w in weights.items()}, tokens
-
-    def restore(self, text: str, chain: str, folded: bool) -> str:
-        out = []
-        for part in text.split(" "):
-            for n, t in enumerate(part.split("\t")):
-                r = {} if t.isascii() else self.repairs(t, folded)
-                better = chain in r and math.log(1 - SOUND) + r[chain][1] > math.log(SOUND) + self.pair(t)
-                out.append(("\t" if n else " " if out else "") + (r[chain][0] if better else t))
-        return "".join(out)
-
-
-def _first_shares() -> dict[str, float]:
-    return {NONE: 1 - GARBLED - LOST, LOST_CHAIN: LOST} | {c: GARBLED / len(CHAINS) for c in CHAINS}
-
-
-def _statistics(rows: DataFrame, judge: Judge | None) -> DataFrame:
-    """what, cell, value: the summed statistics of a round; with no judge, the texts count as they are."""
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """The vectors of each (what, name, kind) added up, by hash of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, singles, chains = np.zeros(PAIRS), np.zeros(SINGLES), {}
+        key, total = None, None
         for batch in batches:
-            for text, group, kind, folded in zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True):
-                if judge is None:
-                    for t in text.replace("\t", " ").split(" "):
-                        if t:
-                            _count(t, 1.0, pairs, singles)
-                    continue
-                posterior, tokens = judge(text, group, kind, folded)
-                for chain, p in posterior.items():
-                    key = f"{group}|{kind}|{chain}"
-                    chains[key] = chains.get(key, 0.0) + p
-                    if chain not in (LOST_CHAIN, REPLACED) and p > 0.01:
-                        for t, r in tokens:
-                            _count(r[chain][0] if chain in r and r[chain][1] > judge.pair(t) else t, p, pairs, singles)
-        at, st = np.flatnonzero(pairs), np.flatnonzero(singles)
-        what = ["pair"] * len(at) + ["single"] * len(st) + ["chain"] * len(chains)
-        cell = [str(x) for x in at.tolist() + st.tolist()] + list(chains)
-        yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(cell, pa.string()), pa.array(pairs[at].tolist() + singles[st].tolist() + list(chains.values()), pa.float64())], names=["what", "cell", "value"])
-
-    summed = rows.mapInArrow(run, "what string, cell string, value double").groupBy("what", "cell").agg(F.sum("value").alias("value"))
-    return summed.where(F.col("value") > 1e-4)
-
-
-def _judge(statistics: DataFrame, shares: bool) -> Judge:
-    """The re-estimated model. The rows gathered are at most PAIRS + SINGLES + 2 * SOURCES * (chains + 2)."""
-    pair = PairModel()
-    by: dict[tuple[int, str], dict[str, float]] = {}
-    for what, cell, value in statistics.collect():
-        if what == "pair":
-            pair.pairs[int(cell)] = value
-        elif what == "single":
-            pair.singles[int(cell)] = value
-        else:
-            group, kind, chain = cell.split("|")
-            by.setdefault((int(group), kind), {})[chain] = value
-    pooled = first = _first_shares()
-    if shares:
-        total = {c: sum(g.get(c, 0.0) for g in by.values()) for c in first}
-        n = sum(total.values())
-        pooled = {c: (total[c] + PRIOR_RECORDS * first[c]) / (n + PRIOR_RECORDS) for c in first}
-    out = {}
-    for key, got in by.items():
-        n = sum(got.values())
-        out[key] = {c: (got.get(c, 0.0) + PRIOR_RECORDS * pooled[c]) / (n + PRIOR_RECORDS) for c in pooled}
-    return Judge(pair, out, pooled)
-
-
-def _moved(before: Judge, after: Judge) -> float:
-    """The most that a share changed."""
-    pairs = [(before.pooled, after.pooled), *((before.shares.get(key, before.pooled), got) for key, got in after.shares.items())]
-    return max(abs(a[c] - b[c]) for b, a in pairs for c in a)
+            for *k, v in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != key:
+                    if key is not None:
+                        yield _sums([(*key, total)])
+                    key, total = k, np.zeros(len(v) // 8)
+                total = total + np.frombuffer(v)
+        if key is not None:
+            yield _sums([(*key, total)])
+
+    keys = ["what", "name", "kind"]
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys).sortWithinPartitions(*keys).mapInArrow(run, _SUMS)
+
+
+def _sums(rows: list[tuple]) -> pa.RecordBatch:
+    what, name, kind, vectors = zip(*rows, strict=True) if rows else ((), (), (), ())
+    cols = [pa.array(list(c), pa.string()) for c in (what, name, kind)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array([v.tobytes() for v in vectors], pa.binary())], names=["what", "name", "kind", "vector"])
+
+
+def _sliced(what: str, counts: np.ndarray) -> list[tuple]:
+    """In slices; those of zeros are left out."""
+    return [(what, str(k), "", part) for k in range(0, len(counts), SLICE) if (part := counts[k : k + SLICE]).any()]
+
+
+def _gathered(sums: dict, what: str) -> np.ndarray:
+    out = np.zeros(PAIRS + SINGLES)
+    for (w, name, _), v in sums.items():
+        if w == what:
+            out[int(name) : int(name) + len(v)] = v
+    return out
+
+
+def _collected(summed: DataFrame, groups: bool) -> dict:
+    """Sums by key: at most (PAIRS + SINGLES) / SLICE slices of each kind of counts, and GROUPS groups if asked for."""
+    t = (summed if groups else summed.where("what <> 'group'")).toArrow()
+    return {(w, n, k): np.frombuffer(v) for w, n, k, v in zip(*[c.to_pylist() for c in t.columns], strict=True)}
+
+
+def _raw(rows: DataFrame) -> dict:
+    """Counts of the ASCII tokens (`ascii`), of the odd tokens of plain (`odd`) and of folded texts (`folded`)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {w: np.zeros(PAIRS + SINGLES) for w in ("ascii", "odd", "folded")}
+        for batch in batches:
+            for folded in (False, True):
+                texts = [t for t, f in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True) if bool(f) == folded]
+                words = [w for t in texts for w in _tokens(t)]
+                for odd in (False, True):
+                    own = [w for w in words if w.isascii() != odd]
+                    if own:
+                        stream = _stream(own)[0]
+                        total["ascii" if not odd else "folded" if folded else "odd"] += _counted(stream, np.ones(len(stream) - 1))
+        yield _sums([x for w, v in total.items() for x in _sliced(w, v)])
+
+    return _collected(_summed(rows.select("text", "source", "kind", "folded").mapInArrow(run, _SUMS)), False)
+
+
+def _worked_out(token: str, folded: bool, pair: PairModel) -> list[tuple[int, str, float]]:
+    return [(PLACE[c], t, _price(token, t, c, folded)) for c, t in _repairs(token, folded, pair).items()]
+
+
+def _chunk_of() -> Column:
+    """Numbers rows by CHUNK_RECORDS neighbours, by fewer the longer their texts: CHUNK_CHARS in a chunk, or one text."""
+    spare = F.greatest(F.lit(0), F.ceil(F.log2(F.length("text") * CHUNK_RECORDS / CHUNK_CHARS)))
+    bits = F.greatest(F.lit(0), F.lit(CHUNK_RECORDS.bit_length() - 1) - spare).cast("int")
+    at = F.monotonically_increasing_id()
+    return F.concat_ws("-", bits.cast("string"), F.call_function("shiftright", at, bits).cast("string"))
+
+
+def _chunks(rows: DataFrame, folded: bool, pair: PairModel) -> DataFrame:
+    """id, groups, chunk of the records whose column folded is as given. Every different token is worked out once."""
+    rows = rows.where(F.col("folded") == folded)
+    words = F.filter(F.split(F.translate("text", "\t", " "), " "), lambda w: w.rlike(r"[^\x00-\x7f]"))
+    held = rows.select(F.col("_chunk").alias("id"), F.explode(F.array_distinct(words)).alias("token")).distinct()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [pickle.dumps(_worked_out(w, folded, pair)) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["token", "made"])
+
+    tokens = held.select("token").distinct().repartition(width(rows.sparkSession), F.xxhash64("token"))
+    repairs = cut(tokens.mapInArrow(work, "token string, made binary"), "repairs")
+    known = held.join(repairs, "token").select("id", "token", "made")
+
+    def build(own: pa.Table, repaired: pa.Table) -> pa.Table:
+        made = dict(zip(repaired.column("token").to_pylist(), map(pickle.loads, repaired.column("made").to_pylist()), strict=True))
+        batch = own.drop_columns(["_chunk"]).combine_chunks().to_batches()[0]
+        c = Chunk.of(batch, lambda w, _: made[w])
+        groups = pa.array([[{"source": s, "kind": k} for s, k in c.groups]], pa.list_(pa.struct([("source", pa.string()), ("kind", pa.string())])))
+        return pa.table([own.column("_chunk")[:1].combine_chunks(), groups, pa.array([pickle.dumps(c)], pa.binary())], names=["id", "groups", "chunk"])
+
+    built = rows.groupBy("_chunk").cogroup(known.groupBy("id")).applyInArrow(build, "id string, groups array<struct<source:string,kind:string>>, chunk binary")
+    return cut(built, "chunks")
+
+
+@dataclass
+class State:
+    """What a round knows: the pair model, pooled shares, and shares by group, as a dictionary or a table."""
+
+    pair: PairModel
+    pooled: np.ndarray
+    by_group: dict[tuple, np.ndarray] | None = field(default_factory=dict)
+    table: DataFrame | None = None
+
+    def shares(self, groups: list[tuple], joined: dict) -> np.ndarray:
+        """Counts of each group with PRIOR_RECORDS records of the pooled shares, as shares."""
+        known = self.by_group if self.by_group is not None else joined
+        got = np.array([known.get((s or "", k or ""), np.zeros(len(PLACE))) for s, k in groups])
+        return (got + PRIOR_RECORDS * self.pooled) / (got[:, : REPLACED_AT].sum(1, keepdims=True) + PRIOR_RECORDS)
+
+    def attached(self, chunks: DataFrame) -> DataFrame:
+        """chunk, and the sums of its groups if these are a table."""
+        if self.table is None:
+            return chunks.select("chunk", F.lit(None).cast("array<struct<name:string,kind:string,vector:binary>>").alias("sums"))
+        links = chunks.select("id", F.explode("groups").alias("g")).select("id", F.coalesce("g.source", F.lit("")).alias("name"), F.coalesce("g.kind", F.lit("")).alias("kind")).distinct()
+        own = links.join(self.table, ["name", "kind"]).groupBy("id").agg(F.collect_list(F.struct("name", "kind", "vector")).alias("sums"))
+        return chunks.join(own, "id", "left").select("chunk", "sums")
+
+    def read(self) -> State:
+        """For the tasks: without the table."""
+        return State(self.pair, self.pooled, self.by_group)
+
+
+REPLACED_AT = PLACE[REPLACED]
+
+
+def _open(batches: Iterator[pa.RecordBatch], state: State) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for data, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            c = pickle.loads(data)
+            joined = {(x["name"], x["kind"]): np.frombuffer(x["vector"]) for x in sums or []}
+            weight, better, _ = c.posteriors(state.pair, state.shares(c.groups, joined))
+            yield c, weight, better
+
+
+def _round(chunks: DataFrame, state: State, fixed: np.ndarray) -> State:
+    """The state re-estimated: `fixed` are the counts of all tokens that are not in the chunks."""
+    now = state.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, groups = np.zeros(PAIRS + SINGLES), {}
+        for c, weight, better in _open(batches, now):
+            counts += c.counts(weight, better)
+            for g, (source, kind) in enumerate(c.groups):
+                key = (source or "", kind or "")
+                groups[key] = groups.get(key, 0.0) + weight[c.group == g].sum(0)
+        if groups:
+            yield _sums([*_sliced("counts", counts), ("total", "", "", sum(groups.values())), *[("group", *k, v) for k, v in groups.items()]])
+
+    summed = cut(_summed(state.attached(chunks).mapInArrow(run, _SUMS)), "sums")
+    few = summed.where("what = 'group'").count() <= GROUPS
+    sums = _collected(summed, few)
+    counts = fixed + _gathered(sums, "counts")
+    got = sums.get(("total", "", ""), np.zeros(len(PLACE)))
+    pooled = (got + PRIOR_RECORDS * _first_shares()) / (got[:REPLACED_AT].sum() + PRIOR_RECORDS)
+    by_group = {(n, k): v for (w, n, k), v in sums.items() if w == "group"}
+    return State(PairModel(counts[:PAIRS], counts[PAIRS:]), pooled, by_group if few else None, None if few else summed.where("what = 'group'").select("name", "kind", "vector"))
+
+
+def _moved(before: State, after: State) -> float:
+    """The most that a share changed, pooled or, as far as they are in the driver, of a group."""
+    most = float(np.abs(before.pooled - after.pooled)[:REPLACED_AT].max())
+    keys = list(after.by_group or {})
+    if keys and before.by_group is not None:
+        most = max(most, float(np.abs(before.shares(keys, {}) - after.shares(keys, {}))[:, :REPLACED_AT].max()))
+    return most
+
+
+def _settled(chunks: DataFrame, state: State, fixed: np.ndarray, rounds: int) -> State:
+    for _ in range(rounds):
+        before, state = state, _round(chunks, state, fixed)
+        if _moved(before, state) <= SETTLED:
+            break
+    return state
 
 
 def find_garbled(records: DataFrame, rounds: int = 20) -> DataFrame:
@@ -440,38 +708,38 @@ def find_garbled(records: DataFrame, rounds: int = 20) -> DataFrame:
     chain explains it, `replaced` if replacement characters stand for lost ones; restored is null for these two. A garbled part
     makes a record garbled; sound parts are restored to themselves. Null texts and texts of ASCII alone are sound.
     Repeated records are judged one by one; an empty table gives an empty result. The shares are re-estimated until they
-    settle, in at most `rounds` rounds.
+    settle, in at most `rounds` rounds for records not folded, and as many for all.
     """
     if rounds < 1:
         raise ValueError("rounds must be positive")
     names = [c for c in records.columns if c not in ("text", "source", "kind", "folded")]
     odd = records.where(F.col("text").rlike(r"[^\x00-\x7f]"))
-    group = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(SOURCES)).cast("int")
-    rows = odd.select("text", group.alias("group"), "kind", "folded", *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
-    rows = spread(cut(rows, "texts"))
-    model = _judge(_statistics(rows, None), shares=False)
-    for _ in range(rounds):
-        before, model = model, _judge(_statistics(rows, model), shares=True)
-        if _moved(before, model) <= SETTLED:
-            break
+    rows = odd.select("text", F.col("source").cast("string").alias("source"), F.col("kind").cast("string").alias("kind"), F.coalesce("folded", F.lit(False)).alias("folded"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(names)])
+    rows = cut(rows.withColumn("_chunk", _chunk_of()), "texts")
+    raw = _raw(spread(rows))
+    plain, folded_odd, ascii_ = (_gathered(raw, w) for w in ("odd", "folded", "ascii"))
+    start = plain + folded_odd + ascii_
+    state = State(PairModel(start[:PAIRS], start[PAIRS:]), _first_shares())
+    chunks = None
+    for folded, fixed in ((False, ascii_ + folded_odd), (True, ascii_)):
+        if (folded_odd if folded else plain).any():
+            own = _chunks(rows, folded, state.pair)
+            chunks = own if chunks is None else chunks.unionByName(own)
+            state = _settled(chunks, state, fixed, rounds)
     kinds = dict(rows.dtypes)
     schema = ", ".join([*[f"_{i} {kinds[f'_{i}']}" for i in range(len(names))], "chain string, probability double, restored string"])
+    now = state.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take, chains, probability, restored = [], [], [], []
-            for i, (text, group_, kind, folded) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True)):
-                posterior, _ = model(text, group_, kind, folded)
-                sound = posterior.pop(NONE, 0.0)
-                if sound < 0.5:
-                    best = max(posterior, key=lambda c: (posterior[c], c))
-                    take.append(i)
-                    chains.append(best)
-                    probability.append(1 - sound)
-                    restored.append(None if best in (LOST_CHAIN, REPLACED) else model.restore(text, best, folded))
+        for c, weight, _ in _open(batches, now):
+            take = np.flatnonzero(weight[:, PLACE[NONE]] < 0.5)
+            batch = c.batch()
+            others = np.delete(weight[take], PLACE[NONE], 1)
+            best = [([*NAMES[:N_CHAINS], LOST_CHAIN, REPLACED])[k] for k in others.argmax(1)] if len(take) else []
+            restored = [None if b in (LOST_CHAIN, REPLACED) else restore(batch.column(0)[int(i)].as_py(), b, c.folded, now.pair) for i, b in zip(take, best, strict=True)]
             kept = pa.array(take, pa.int64())
-            cols = [c.take(kept) for c in batch.columns[4:]] + [pa.array(chains, pa.string()), pa.array(probability, pa.float64()), pa.array(restored, pa.string())]
+            cols = [x.take(kept) for x in batch.columns[1:]] + [pa.array(best, pa.string()), pa.array(1 - weight[take, PLACE[NONE]], pa.float64()), pa.array(restored, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=[*[f"_{i}" for i in range(len(names))], "chain", "probability", "restored"])
 
-    found = rows.mapInArrow(run, schema)
+    found = state.attached(chunks).mapInArrow(run, schema) if chunks is not None else rows.sparkSession.createDataFrame([], schema)
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)], "chain", "probability", "restored")

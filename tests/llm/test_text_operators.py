@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,12 +78,59 @@ def test_lost_records_of_a_source_vouch_for_each_other(spark):
     assert len(lost & found) >= 0.9 * len(lost)
 
 
+def _chunk(texts, folded=False, sources=None):
+    cols = [texts, sources or ["s"] * len(texts), ["line"] * len(texts), [folded] * len(texts), list(range(len(texts)))]
+    return encodings.Chunk.of(pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=list("abcde")), lambda w, f: encodings._worked_out(w, f, encodings.PairModel()))
+
+
 def test_share_of_the_lost_counts():
-    few, many = ({encodings.NONE: 0.5, encodings.LOST_CHAIN: s} for s in (1e-9, 0.5))
-    weigh = lambda share: encodings.Judge(encodings.PairModel(), {}, share)("zæþð", 0, "line", False)[0].get(encodings.LOST_CHAIN, 0.0)
+    few, many = (np.array([[0.0] * encodings.N_CHAINS + [0.5, s, 0.0]]) for s in (1e-9, 0.5))
+    weigh = lambda share: _chunk(["z\u0113\u00fe\u00f0"]).posteriors(encodings.PairModel(), share)[0][0, encodings.PLACE[encodings.LOST_CHAIN]]
     assert weigh(many) > weigh(few)
 
 
+def test_whole_arrays_score_as_single_steps():
+    rnd = np.random.default_rng(3)
+    pair = encodings.PairModel(rnd.integers(0, 40, encodings.PAIRS).astype(float), rnd.integers(0, 400, encodings.SINGLES).astype(float))
+    texts = ["caf\u00e9", "\u041f\u0440\u0438", "\u56fe", "x", "\U0001f600z"]
+    assert pair.scores(*encodings._stream(texts)) == pytest.approx([pair(t) for t in texts], rel=1e-5)
+
+
+def test_chunk_posteriors_match_a_plain_computation():
+    """Record by record, token by token."""
+    texts = ["caf\u00c3\u00a9 and caf\u00c3\u00a9\t\u00e9t\u00e9", "\u00e9t\u00e9", "x \ufffd y", "\u041f\u0440\u0438\u0432\u0435\u0442 caf\u00c3\u00a9"]
+    rnd = np.random.default_rng(5)
+    pair = encodings.PairModel(rnd.integers(0, 40, encodings.PAIRS).astype(float), rnd.integers(0, 400, encodings.SINGLES).astype(float))
+    share = encodings._first_shares()
+    weight, _, _ = _chunk(texts).posteriors(pair, share[None, :])
+    for text, got in zip(texts, weight, strict=True):
+        odd = [t for t in encodings._tokens(text) if not t.isascii()]
+        score = {encodings.NONE: sum(map(pair, odd)) + np.log(share[encodings.PLACE[encodings.NONE]])}
+        for chain in {c for t in odd for c in encodings._repairs(t, False, pair)}:
+            total = np.log(share[encodings.PLACE[chain]])
+            for t in odd:
+                r = encodings._repairs(t, False, pair).get(chain)
+                total += pair(t) if r is None else np.logaddexp(np.log(1 - encodings.SOUND) + pair(r), np.log(encodings.SOUND) + pair(t))
+            score[chain] = total
+        if "\ufffd" in text:
+            assert got[encodings.PLACE[encodings.REPLACED]] == 1
+            continue
+        ratio = np.log(got[encodings.PLACE[encodings.NONE]]) - score[encodings.NONE]
+        for c, s in score.items():
+            w = got[encodings.PLACE[c]]
+            assert w == 0 or np.log(w) - s == pytest.approx(ratio, abs=1e-3)
+
+
+def test_many_sources_are_joined_instead_of_held(spark, monkeypatch):
+    """The same result whether the shares of the groups travel with the tasks or are joined to the chunks."""
+    df, _ = _records(spark, 400)
+    df = df.withColumn("source", F.concat("source", F.col("id") % 20))
+    held = rows(encodings.find_garbled(df).select("id", "chain", "restored"))
+    monkeypatch.setattr(encodings, "GROUPS", 3)
+    monkeypatch.setattr(encodings, "CHUNK_RECORDS", 50)
+    assert rows(encodings.find_garbled(df).select("id", "chain", "restored")) == held
+
+
 def test_encoding_edges(spark):
     schema = "id int, text string, source string, kind string, folded boolean"
     data = [(1, None, "s", "k", False), (2, "", "s", "k", False), (3, "plain ascii", None, "k", False), (4, "lost � here", None, "k", False), (4, "lost � here", None, "k", False), (5, "é" + "x" * 100_000, "s", "k", True)]
