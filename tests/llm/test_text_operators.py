@@ -262,14 +262,11 @@ def brute_matches(docs, items, n):
 @given(st.lists(st.text("abx ", max_size=30), min_size=1, max_size=4), st.lists(st.text("ab ", max_size=20), max_size=3), st.integers(1, 4))
 def test_suffix_search_matches_brute_force(docs, items, n):
     known = leaks.Items(list(enumerate(items)), n)
-    ids, starts = [], []
-    for t in docs:
-        starts.append(len(ids))
-        ids += [known.vocabulary.get(w, 0) for w in leaks.words(t)] + [0]
+    shard = leaks.Shard.of(pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["doc_id", "text"]), n)
     got = set()
-    for p, j, k in leaks.search_shard(np.array(ids, np.int32), known):
-        d = int(np.searchsorted(starts, p, "right")) - 1
-        got.add((d, known.owner[j], k, p - starts[d], int(known.place[j])))
+    for p, j, k in leaks.search_shard(shard, known):
+        d = int(np.searchsorted(shard.starts, p, "right")) - 1
+        got.add((d, known.owner[j], k, p - int(shard.starts[d]), int(known.place[j])))
     assert got == set(brute_matches(list(enumerate(docs)), list(enumerate(items)), n))
 
 
