@@ -4,6 +4,10 @@ The rules follow the outline of Unicode's sentence breaking: terminators that al
 that may be something else, closing marks that stay with their sentence, and a look at what follows. On top of that come
 abbreviations by language, quotations that stay with the words that introduce or report them, and spaces as boundaries
 in scripts without terminators. A text is scanned once, from mark to mark.
+
+Texts mix languages and tags are wrong, so the language of an abbreviation is told by the function words around it, up to
+the sentence's next mark: that for which most of them speak, and that of the document's tag if any does. Where no word says
+anything, any language's abbreviation counts: the next sentence may be in another language than this one or the tag's.
 """
 
 from __future__ import annotations
@@ -13,18 +17,29 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.storage import spread
 
-#: Terminators that end a sentence whatever their neighbours' case, full stops, and ellipses.
-STRONG = "!?‼⁇⁈⁉。！？｡।॥۔؟܀܁܂߹።፧፨։។៕။᠃᠉⸮"
-STOPS = ".．"
+
+
+def _having(prop: str) -> str:
+    """All characters with a property of the Unicode data."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    return "".join(regex.findall(rf"\p{{{prop}}}", every))
+
+
+#: Terminators that end a sentence whatever their neighbours' case, and full stops: the classes STerm and ATerm.
+STRONG, STOPS = _having("Sentence_Break=STerm"), _having("Sentence_Break=ATerm")
 ELLIPSIS = "…"
 GREEK_QUESTION = ";;"
-OPENERS = {"(": ")", "[": "]", "{": "}", "（": "）", "［": "］", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "‘": "’", "„": "“”", "‚": "‘’", "«": "»", "‹": "›", '"': '"', "＂": "＂"}
-BRACKETS = "([{（［【〔"
+#: Quotation marks that open, with those that close them.
+QUOTES = {"「": "」", "『": "』", "《": "》", "〈": "〉", "﹁": "﹂", "﹃": "﹄", "〝": "〞〟", "“": "”", "‘": "’", "„": "“”", "‚": "‘’", "«": "»", "‹": "›", '"': '"', "＂": "＂"}
+#: Brackets: opening punctuation of the class Close, with the closing one that stands one or two places further on.
+BRACKETS = {c: next(chr(ord(c) + d) for d in (1, 2) if unicodedata.category(chr(ord(c) + d)) == "Pe") for c in _having("Sentence_Break=Close") if unicodedata.category(c) == "Ps" and c not in QUOTES and "Pe" in (unicodedata.category(chr(ord(c) + 1)), unicodedata.category(chr(ord(c) + 2)))}
+OPENERS = BRACKETS | QUOTES
 CLOSERS = set("".join(OPENERS.values()))
 DASHES = "-‐‑–—―−"
 
@@ -61,12 +76,38 @@ NEVER = {
     "ru": "т т.е т.к т.д напр см См",
     "el": "π.χ δηλ βλ",
 }
-#: Words after a German ordinal, and those before it.
+#: Frequent function words, by which languages of one script are told apart and sentences known to begin.
+FUNCTION = {
+    "en": "the an and of to is was were are be it i am he she they we you in on at with from for but not this that these those there here his her their has had have will would who which when if as by or our your its",
+    "de": "der die das den dem des ein eine einen einem einer und ist war sind waren nicht auch mit von zu zum zur im am auf für aus bei nach es er sie wir ihr sich wird wurde hat als wie aber oder dass noch nur",
+    "fr": "le la les des du un une et est était sont dans sur avec pour par pas ne que qui il elle nous vous ils elles ce cette ces au aux son sa ses plus mais ou où se été",
+    "es": "el la los las del un una y es era son en con por para que se su sus al lo como más pero muy este esta estos fue ha hay sin sobre cuando porque",
+    "it": "il lo la gli le del della dei delle un una e è era sono in con per non che si su al alla ai come più ma anche questo questa nel nella dal dalla ha di ed",
+}
+#: German months and nouns that ordinals count, words before an ordinal.
 ORDINAL_NEXT = set("Jahrhundert Jahrhunderts Jh Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Klasse Auflage Kapitel Stock Platz Tag Woche Band Teil Mal".split())
-ORDINAL_BEFORE = set("am im der den dem das die des vom zum zur bis beim ab seit".split())
-#: English verbs that report speech after a name, and words that begin a sentence after initials.
-REPORT = re.compile(r"(?!(?:When|As|If|Once|After|Before|Then|Nobody|Who)\b)[^\W\d_]+ (?:said|says|asked|asks|cried|replied|answered|shouted|whispered|added|wrote)\b")
-STARTS = set("The A An It He She They We You I In On At This That These Those There But And".split())
+ORDINAL_BEFORE = set("am im der den dem das des vom zum zur beim seit".split())
+#: English verbs of speech, as they follow the name of the one who speaks.
+_SPEECH = "say says said tell tells told ask asks asked answer answers answered reply replies replied cry cries cried shout shouts shouted whisper whispers whispered add adds added write writes wrote explain explains explained insist insists insisted remark remarks remarked exclaim exclaims exclaimed murmur murmurs murmured repeat repeats repeated continue continues continued"
+REPORT = re.compile(rf"(?!(?:When|As|If|Once|After|Before|Then|Nobody|Who)\b)[^\W\d_]+ (?:{'|'.join(_SPEECH.split())})\b")
+_FUNCTION_OF: dict[str, tuple[str, ...]] = {}
+for _lang, _words in FUNCTION.items():
+    for _w in _words.split():
+        _FUNCTION_OF[_w] = (*_FUNCTION_OF.get(_w, ()), _lang)
+_LATIN_WORD = re.compile(r"[^\W\d_]+")
+
+
+_NEXT_MARK = re.compile(r"(?<=[^\W\d_]{3})[.!?]|(?<=\d)[.!?](?=\s)")
+
+
+def spoken(text: str, tag: str = "") -> set[str]:
+    """The languages of FUNCTION that most of its words speak for, and the tag's if any does; none if no word does."""
+    votes: dict[str, int] = {}
+    for w in _LATIN_WORD.findall(text):
+        for lang in _FUNCTION_OF.get(w.lower(), ()):
+            votes[lang] = votes.get(lang, 0) + 1
+    return {lang for lang, n in votes.items() if n == max(votes.values()) or lang == tag}
+
 
 _MARKS = re.compile(
     "(?P<t>[" + re.escape(STRONG + STOPS + ELLIPSIS + GREEK_QUESTION) + "]+)|(?P<q>["
@@ -81,15 +122,23 @@ _CHUNK = re.compile(r"\S*")
 _SPACE = re.compile(r"\s*")
 
 
-def _all(lists: dict[str, str], langs: tuple[str, ...] | None) -> frozenset[str]:
-    return frozenset(w for lang, words in lists.items() if langs is None or lang in langs for w in words.split())
+def _languages(lists: dict[str, str]) -> dict[str, frozenset[str]]:
+    """The languages in whose list each word stands."""
+    out: dict[str, frozenset[str]] = {}
+    for lang, listed in lists.items():
+        for w in listed.split():
+            out[w] = out.get(w, frozenset()) | {lang}
+    return out
+
+
+_NUMBER, _TITLE, _NEVER = _languages(NUMBER), _languages(TITLE), _languages(NEVER)
 
 
 class Rules:
-    """The rules with the abbreviations of `langs`, of all languages if None: texts mix languages and tags are wrong."""
+    """The rules for a document tagged with `lang`, if it is."""
 
-    def __init__(self, langs: tuple[str, ...] | None = None):
-        self.number, self.title, self.never = _all(NUMBER, langs), _all(TITLE, langs), _all(NEVER, langs)
+    def __init__(self, lang: str | None = None):
+        self.tag = (lang or "").strip().lower()[:2]
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """Start and end of every sentence, without white space at either end."""
@@ -103,6 +152,15 @@ class Rules:
         self._paragraph(text, at, len(text), out)
         return out
 
+    def _speaks(self, langs: frozenset[str], text: str, start: int, a: int, end: int) -> bool:
+        """Whether the sentence around `a` may be in one of these languages. Those not in FUNCTION have scripts or words
+        of their own."""
+        if not langs <= FUNCTION.keys():
+            return True
+        m = _NEXT_MARK.search(text, a + 2, min(end, a + 120))
+        near = spoken(text[max(start, a - 300) : m.start() if m else min(end, a + 120)], self.tag)
+        return not near or not langs.isdisjoint(near)
+
     def _paragraph(self, text: str, start: int, end: int, out: list[tuple[int, int]]) -> None:
         start = min(_SPACE.match(text, start, end).end(), end)
         open_: list[tuple[str, int, bool]] = []  # mark, place, whether it began its sentence
@@ -226,12 +284,13 @@ class Rules:
         word = _WORD_BEFORE.search(before)
         if word:
             w = word.group()
-            if w in self.never:
+            if w in _NEVER and self._speaks(_NEVER[w], text, start, a, end):
                 return False
-            if c.isdigit() and w.casefold() in self.number:
+            if c.isdigit() and w.casefold() in _NUMBER and self._speaks(_NUMBER[w.casefold()], text, start, a, end):
                 return False
             name = c.isalpha() or c in OPENERS
-            if name and (w in self.title or w.isupper() and w.capitalize() in self.title):
+            title = _TITLE.get(w) or w.isupper() and _TITLE.get(w.capitalize())
+            if name and title and self._speaks(title, text, start, a, end):
                 return False
             if len(w) == 1 and w.isupper() and (c.isupper() or not name):
                 return c.isdigit()
@@ -239,21 +298,19 @@ class Rules:
                 return False
             if "." in w and w.replace(".", "").isupper() and c.isupper():
                 following = _WORD_AFTER.match(text, k, end)
-                return bool(following and following.group() in STARTS)
+                return bool(following and following.group().istitle() and following.group().lower() in _FUNCTION_OF)
             return True
         number = _DIGITS_BEFORE.search(before)
         if number and len(number["d"]) <= 3:
             if a - len(number["d"]) <= start and not c.isdigit():
                 return False  # the number of a list item
             following = _WORD_AFTER.match(text, k, end)
-            if following and len(number["d"]) <= 2 and (following.group() in ORDINAL_NEXT or (number["w"] or "").lower() in ORDINAL_BEFORE and number["w"] and self._german(number["w"], following.group())):
-                return False
+            if following and len(number["d"]) <= 2 and following.group()[:1].isupper():
+                counted = following.group() in ORDINAL_NEXT or (number["w"] or "").lower() in ORDINAL_BEFORE
+                if counted and self._speaks(frozenset(["de"]), text, start, a, end):
+                    return False
         return True
 
-    @staticmethod
-    def _german(before: str, after: str) -> bool:
-        return before.lower() in ORDINAL_BEFORE and before.lower() not in ("die", "ab", "bis") and after[:1].isupper()
-
     def _glued(self, text: str, a: int, j: int, start: int, end: int, nxt: str) -> bool:
         """Whether a full stop with no space after it can end a sentence at all: not in numbers, names of hosts, initials."""
         prev = text[a - 1] if a > start else ""
@@ -275,23 +332,23 @@ class Rules:
         return not ("/" in own or "@" in own or own.lower().startswith("www."))
 
 
-def split_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", with_text: bool = True, langs: tuple[str, ...] | None = None) -> DataFrame:
+def split_sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text", with_text: bool = True, lang: str | None = "lang") -> DataFrame:
     """doc, sentence_no, start_pos, end_pos (and the sentence): the sentences of every document in order, numbered
-    from 0; positions in code points.
+    from 0; positions in code points. `lang` is the column of language tags, if there is one.
 
-    Null, empty and blank texts have no sentences. Repeated ids are split row by row; a null id is kept. An empty table
-    gives an empty result.
+    Null, empty and blank texts have no sentences. Repeated ids are split row by row; a null id is kept. A null, unknown or
+    wrong tag does little harm. An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)[doc]
-    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text")))
+    tag = F.col(lang).cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), tag.alias("lang")))
     schema = f"doc_id {kind}, sentence_no int, start_pos int, end_pos int" + ", sentence string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = Rules(langs)
         for batch in batches:
             take, no, starts, ends, said = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                spans = rules.spans(t)
+            for i, (t, tag_) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                spans = Rules(tag_).spans(t)
                 take += [i] * len(spans)
                 no += range(len(spans))
                 starts += [s for s, _ in spans]

@@ -350,6 +350,31 @@ def test_sentences_without_spaces_between(parts):
     assert [text[a:b] for a, b in Rules().spans(text)] == parts
 
 
+@pytest.mark.parametrize("mark", ["\u203d", "\u104b", "\u1c7f", "\u1945", "\ua60f", "\uabeb", "\ufe56", "\u0964", "\u2e3c", "\U00011c41"])
+def test_terminators_of_all_scripts(mark):
+    parts = [f"\u1c5a\u1c5b{mark}", "Next one."]
+    assert [" ".join(parts)[a:b] for a, b in Rules().spans(" ".join(parts))] == parts
+
+
+@pytest.mark.parametrize(
+    ("lang", "parts"),
+    [
+        ("en", ["He lost his cap.", "12 people saw it."]),
+        ("it", ["He lost his cap.", "12 people saw it."]),
+        (None, ["I am 12.", "The dog sleeps."]),
+        ("de", ["We sold 12.", "August was better."]),
+        ("en", ["Das war am 12. August im Rathaus."]),
+        ("EN", ["Vedi la tabella nel cap. 12 del libro."]),
+        ("xx", ["Kap. 3"]),
+        ("fr", ["M. Nelo"]),
+    ],
+)
+def test_abbreviations_by_language(lang, parts):
+    """The words of the sentence count before the tag; without either, every language's abbreviations count."""
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in Rules(lang).spans(text)] == parts
+
+
 def test_sentences_of_thai_headings_and_blanks():
     text = "  สถานีเก่ามาก คนจำนวน 706 คนมาทุกวัน\n\nTitle of it\n\n Text here. "
     assert [text[a:b] for a, b in Rules().spans(text)] == ["สถานีเก่ามาก", "คนจำนวน 706 คนมาทุกวัน", "Title of it", "Text here."]
