@@ -63,7 +63,7 @@ fields AS (
     regexp_extract(line, '^(?:{_ANY})\t({_ANY})$', 3, 's') AS f2
   FROM lines),
 clean AS (
-  SELECT line_no, is_empty, closed, two,
+  SELECT line_no, line, is_empty, closed, two,
     CASE WHEN f1 LIKE '"%' THEN replace(f1[2:len(f1) - 1], '""', '"') ELSE f1 END AS pid,
     CASE WHEN f2 LIKE '"%' THEN replace(f2[2:len(f2) - 1], '""', '"') ELSE f2 END AS text
   FROM fields),
@@ -89,5 +89,12 @@ ORACLES: dict[str, str] = {
         SELECT partition_no, term, CAST(p AS BIGINT) AS percent, docid FROM r, (SELECT unnest([{', '.join(map(str, PERCENTS))}]) AS p)
         WHERE r = greatest(1, (n * p + 99) // 100)""",
     "p2_found": f"WITH {_LINES} SELECT line_no, reason FROM reasons WHERE reason IS NOT NULL",
+    "p2_fields": rf"""WITH {_LINES}, broken AS (SELECT reason,
+            coalesce(good_pid, false) AND regexp_matches(line, '^{_ANY}(\t|$)', 's') AS first,
+            regexp_extract(line, '^(?:{_ANY})\t({_ANY})(?:\t|$)', 3, 's') AS f2
+            FROM reasons WHERE reason IS NOT NULL)
+        SELECT reason, CASE WHEN NOT coalesce(first, false) THEN 'pid'
+            WHEN regexp_full_match(CASE WHEN f2 LIKE '"%' THEN replace(f2[2:len(f2) - 1], '""', '"') ELSE f2 END, '{_SPACE}*', 's') THEN 'text'
+            ELSE '-' END AS field, count(*) AS n_lines FROM broken GROUP BY ALL""",
     "p2_records": f"WITH {_LINES} SELECT line_no, CAST(pid AS BIGINT) AS pid, text FROM reasons WHERE reason IS NULL",
 }

@@ -274,6 +274,46 @@ def _tok(name: str, key: str, body: str, source: str) -> str:
     {name} AS (SELECT {key}, CAST(pos AS BIGINT) AS pos, CASE WHEN regexp_matches(w, '{_RUNS}') THEN {_collapse('w')} ELSE w END AS term FROM {name}_w)"""
 
 
+# Porter's conditions on a stem, as patterns: y is a vowel after a consonant
+_CONS, _VOWEL = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+
+
+def _matches(pattern: str) -> Callable[[str], str]:
+    return lambda w: f"regexp_matches({w}, '{pattern}')"
+
+
+_M0 = _matches(f"^({_CONS})?{_VOWEL}{_CONS}")
+_M1 = _matches(f"^({_CONS})?{_VOWEL}{_CONS}({_VOWEL})?$")
+_M2 = _matches(f"^({_CONS})?{_VOWEL}{_CONS}{_VOWEL}{_CONS}")
+_HAS_VOWEL = _matches(f"^({_CONS})?[aeiouy]")
+_SHORT = _matches(f"^{_CONS}[aeiouy][^aeiouwxy]$")
+
+
+def _cases(pairs: dict[str, str], condition: Callable[[str, str], str]) -> str:
+    """The longest suffix of `pairs` that w has, replaced if its condition holds."""
+    whens = [f"WHEN w LIKE '%{x}' THEN CASE WHEN {condition(x, f'w[:-{len(x) + 1}]')} THEN w[:-{len(x) + 1}] || '{y}' ELSE w END" for x, y in sorted(pairs.items(), key=lambda p: -len(p[0]))]
+    return f"CASE {' '.join(whens)} ELSE w END"
+
+
+def _stems(source: str) -> str:
+    """CTEs to a table stems (term, stem) of the words in `source` (term)."""
+    mended = lambda x: f"CASE WHEN regexp_matches({x}, '(at|bl|iz)$') THEN {x} || 'e' WHEN {x}[-1] = {x}[-2] AND {x}[-1] NOT IN ('a', 'e', 'i', 'o', 'u', 'l', 's', 'z') AND len({x}) > 1 THEN {x}[:-2] WHEN {_SHORT(x)} THEN {x} || 'e' ELSE {x} END"
+    steps = [
+        "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END",
+        f"CASE WHEN w LIKE '%eed' THEN CASE WHEN {_M0('w[:-4]')} THEN w[:-2] ELSE w END WHEN w LIKE '%ed' AND {_HAS_VOWEL('w[:-3]')} THEN {mended('w[:-3]')} WHEN w LIKE '%ing' AND {_HAS_VOWEL('w[:-4]')} THEN {mended('w[:-4]')} ELSE w END",
+        f"CASE WHEN w LIKE '%y' AND {_HAS_VOWEL('w[:-2]')} THEN w[:-2] || 'i' ELSE w END",
+        _cases(stem.STEP2, lambda x, y: _M0(y)),
+        _cases(stem.STEP3, lambda x, y: _M0(y)),
+        _cases({x: "" for x in stem.STEP4}, lambda x, y: _M2(y) + (f" AND regexp_matches({y}, '[st]$')" if x == "ion" else "")),
+        f"CASE WHEN w LIKE '%e' AND ({_M2('w[:-2]')} OR {_M1('w[:-2]')} AND NOT {_SHORT('w[:-2]')}) THEN w[:-2] ELSE w END",
+        f"CASE WHEN w LIKE '%ll' AND {_M2('w[:-2]')} THEN w[:-2] ELSE w END",
+    ]
+    ctes = [f"stem_0 AS (SELECT DISTINCT term, term AS w FROM {source})"]
+    for k, step in enumerate(steps):
+        ctes.append(f"stem_{k + 1} AS (SELECT term, CASE WHEN len(term) > 2 AND regexp_full_match(term, '[a-z]+') THEN {step} ELSE w END AS w FROM stem_{k})")
+    return ", ".join([*ctes, f"stems AS (SELECT term, w AS stem FROM stem_{len(steps)})"])
+
+
 _TOK = _tok("tok", "doc_id", "text", "documents")
 _P = f"""{_TOK},
     p AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL),
@@ -296,10 +336,10 @@ _FILE = "SELECT qid, query_text AS body FROM queries"
 _PLUS = "SELECT qid, '+' || query_text || ' zzunknown' AS body FROM queries WHERE query_text IS NOT NULL"
 
 
-def _top(source: str, model: str, conjunctive: bool = False) -> str:
+def _top(source: str, model: str, conjunctive: bool = False, lex: str = "", query: str = "") -> str:
     need = ", nd AS (SELECT qid, count(*) AS need FROM q JOIN lx USING (term) GROUP BY qid)" if conjunctive else ""
     keep = "JOIN nd USING (qid) WHERE have = need AND" if conjunctive else "WHERE"
-    return f"""WITH {_LEX}, {_query_cte(source)}{need},
+    return f"""WITH {lex or _LEX}, {query or _query_cte(source)}{need},
     s AS (SELECT qid, doc_id, round(sum(qtf * {model}), 6) AS score, count(*) AS have FROM q JOIN sc USING (term) GROUP BY ALL),
     r AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s {keep} score > 0)
     """
@@ -321,6 +361,16 @@ def _block_sql(bytes_: str, limit: int) -> str:
     FROM b GROUP BY ALL"""
 
 
+def _parsed_top(source: str, model: str) -> str:
+    """As _ranked, over terms and query terms that are no stopwords, stemmed."""
+    words = f"{_tok('tok0', 'doc_id', 'text', 'documents')}, {_query_cte(source).replace('qt', 'qt0').replace('q AS', 'q0 AS')}"
+    both = f"stop(term) AS (VALUES {_STOP}), seen AS (SELECT term FROM tok0 UNION SELECT term FROM qt0), {_stems('seen')}"
+    kept = "{0} AS (SELECT {1}, stem AS term FROM {0}0 JOIN stems USING (term) WHERE term NOT IN (SELECT term FROM stop))"
+    lex = f"{words}, {both}, {kept.format('tok', 'doc_id')}, {_LEX.replace(_TOK + ',', '')}"
+    query = f"{kept.format('qt', 'qid')}, q AS (SELECT qid, term, count(*) AS qtf FROM qt GROUP BY ALL)"
+    return f"{_top(source, model, lex=lex, query=query)} SELECT qid, doc_id, rank, score FROM r WHERE rank <= {K}"
+
+
 _STOP = ", ".join(f"('{w}')" for w in text.STOPWORDS)
 
 ORACLES: dict[str, str] = {
@@ -332,6 +382,8 @@ ORACLES: dict[str, str] = {
     "tokenize_lines": f"WITH {_tok('tok', 'line_no', 'line', 'collection_lines')} SELECT line_no, CAST(len(ws) AS BIGINT) AS n_tokens FROM tok_l",
     "stopword_filter": f"""WITH {_TOK}, s(term) AS (VALUES {_STOP})
         SELECT doc_id, count(*) AS n_before, count(*) FILTER (term NOT IN (SELECT term FROM s)) AS n_after FROM tok GROUP BY doc_id""",
+    "stem_vocabulary": f"WITH {_TOK}, {_stems('tok')} SELECT term, stem FROM stems",
+    "bm25_parsed_topk": _parsed_top(_BENCH, "bm25"),
     "doc_index": f"WITH {_P} SELECT doc_id, doc_len FROM di",
     "collection_stats": f"WITH {_P} SELECT n_docs, total_len, vocab_size, round(total_len::DOUBLE / n_docs, 6) AS avgdl FROM st",
     "postings": f"WITH {_P} SELECT term, doc_id, tf FROM p",
