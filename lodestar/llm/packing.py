@@ -25,6 +25,8 @@ from lodestar.storage import cut, width
 #: Documents of a block, on average: the bound on what one call of the algorithm sees.
 BLOCK_ITEMS = 2048
 ISLANDS, EPOCHS, POPULATION, GENERATIONS, OFFSPRING, ELITE = 2, 2, 6, 8, 3, 2
+#: Specs that the driver reads; more are an error.
+MAX_SPECS = 1000
 #: A container filled to this per cent is final, a poorer one is opened again on the next level.
 FULL_PERCENT = 99
 MAX_LEVELS = 6
@@ -162,8 +164,8 @@ def _level(items: DataFrame, blocks: dict[int, int], level: int) -> DataFrame:
     """The items with the container (block and number) that each goes to, and how full that is."""
     spark = items.sparkSession
     of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    block = F.pmod(F.xxhash64("doc_id", "piece", F.lit(level)), of[F.col("pack_id")].cast("bigint"))
-    held = F.sort_array(F.collect_list(F.struct("size", "doc_id", "piece", "n_pieces", "start_pos"))).alias("items")
+    block = F.pmod(F.xxhash64("row", "piece", F.lit(level)), of[F.col("pack_id")].cast("bigint"))
+    held = F.sort_array(F.collect_list(F.struct("size", "row", "piece", "doc_id", "n_pieces", "start_pos"))).alias("items")
     dealt = cut(items.groupBy("pack_id", "capacity", block.alias("block")).agg(held), "blocks")
     lean = dealt.select("pack_id", "capacity", "block", F.col("items.size").alias("sizes"))
     n = width(spark)
@@ -188,11 +190,11 @@ def _level(items: DataFrame, blocks: dict[int, int], level: int) -> DataFrame:
 def _pieces(docs: DataFrame, packs: list[tuple[int, int]]) -> DataFrame:
     """A row for each piece of each document and pack: whole documents, and larger ones cut at multiples of the capacity."""
     specs = F.explode(F.array(*[F.struct(F.lit(p).cast("int").alias("pack_id"), F.lit(c).cast("bigint").alias("capacity")) for p, c in packs]))
-    rows = docs.withColumn("pack", specs).select("doc_id", "tokens", "pack.pack_id", "pack.capacity")
+    rows = docs.withColumn("pack", specs).select("doc_id", "row", "tokens", "pack.pack_id", "pack.capacity")
     rows = rows.withColumn("n_pieces", F.expr("cast(greatest(1L, (tokens + capacity - 1) div capacity) as int)"))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
     start = F.col("piece") * F.col("capacity")
-    return rows.select("pack_id", "capacity", "doc_id", "piece", "n_pieces", start.alias("start_pos"), F.least(F.col("capacity"), F.col("tokens") - start).alias("size"))
+    return rows.select("pack_id", "capacity", "doc_id", "row", "piece", "n_pieces", start.alias("start_pos"), F.least(F.col("capacity"), F.col("tokens") - start).alias("size"))
 
 
 OUT = ["pack_id", "container", "doc_id", "piece", "n_pieces", "start_pos", "size"]
@@ -204,20 +206,22 @@ def pack(docs: DataFrame, specs: DataFrame, doc: str = "doc_id", text: str = "te
     A size is the number of UTF-8 bytes of the text. A document of at most the capacity is one piece; a larger one is
     cut at multiples of the capacity, start_pos being a piece's first byte, and its last piece is packed like a
     document. Null and empty texts have size 0 and go to a container too. Specs with null id or a capacity that is null
-    or below 1 are left out and repeated ones count once; the specs are a short list of sizes and are read by the driver.
+    or below 1 are left out and repeated ones count once; the specs are a short list of sizes, MAX_SPECS at most, and are read by the driver.
     Repeated documents are packed one by one; without documents or specs the result is empty.
     """
     valid = specs.where(F.col("pack_id").isNotNull() & (F.col("capacity") >= 1)).select("pack_id", "capacity").distinct()
-    packs = sorted((int(p), int(c)) for p, c in valid.collect())
+    packs = sorted((int(p), int(c)) for p, c in valid.limit(MAX_SPECS + 1).collect())
+    if len(packs) > MAX_SPECS:
+        raise ValueError(f"more than {MAX_SPECS} specs")
     if len({p for p, _ in packs}) < len(packs):
         raise ValueError("a pack_id has two capacities")
-    sizes = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("tokens"))
+    sizes = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("tokens"), F.monotonically_increasing_id().alias("row"))
     if not packs:
         return sizes.select(*[F.lit(None).cast(k).alias(c) for c, k in zip(OUT, "int string bigint int int bigint bigint".split(), strict=True)]).where("false")
     pieces = cut(_pieces(sizes, packs), "pieces")
     whole = F.col("size") >= F.col("capacity")
-    # the row hash tells apart repeated documents, each of which fills containers of its own
-    own = F.concat_ws("-", F.lit("w"), F.col("doc_id").cast("string"), F.col("piece").cast("string"), F.monotonically_increasing_id().cast("string"))
+    # the row number tells apart repeated documents, each of which fills containers of its own
+    own = F.concat_ws("-", F.lit("w"), F.col("row").cast("string"), F.col("piece").cast("string"))
     done = [pieces.where(whole).withColumn("container", own)]
     rest, before = pieces.where(~whole), None
     for level in range(MAX_LEVELS):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import counts, encodings, leaks, packing, sentences, topn, weights
-from lodestar.storage import fresh, table
+from lodestar.storage import cut, fresh, table
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,6 +88,15 @@ def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf)
 
 
+def p7_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """What has gone into the containers of each document, and whether none of these holds more than its capacity."""
+    packed, specs = cut(_packed(spark, sf), "packed"), table(spark, sf, "pack_specs").distinct()
+    full = packed.groupBy("pack_id", "container").agg(F.sum("size").alias("held")).join(specs, "pack_id")
+    checked = packed.join(full.select("pack_id", "container", (F.col("held") <= F.col("capacity")).alias("ok")), ["pack_id", "container"])
+    sizes = checked.groupBy("pack_id", "doc_id").agg(F.sum("size").alias("size"), F.count("*").alias("n_pieces"), F.every("ok").alias("fits"))
+    return sizes.select("pack_id", "doc_id", "size", "n_pieces", "fits")
+
+
 def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.summary(_packed(spark, sf), table(spark, sf, "pack_specs"))
 
@@ -106,7 +115,7 @@ def p8_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus without the documents that hold a test passage."""
-    return leaks.without_leaks(table(spark, sf, "documents"), _matches(spark, sf))
+    return leaks.without_leaks(table(spark, sf, "documents").drop("fetched_at"), _matches(spark, sf))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_repaired": p6_repaired,
     "p7_found": p7_found,
     "p7_packed": p7_packed,
+    "p7_sizes": p7_sizes,
     "p7_containers": p7_containers,
     "p8_found": p8_found,
     "p8_matches": p8_matches,
@@ -148,7 +158,29 @@ _TOP = """
         WHERE qid IS NOT NULL AND pid IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
     k AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM v WHERE r = 1)"""
 
+_WORDS = r"""
+    d AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+    i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark),
+    dg AS (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+    ig AS (SELECT item_id, j, array_to_string(w[j:j + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS j FROM i)),
+    m AS (SELECT doc_id, item_id, k, j FROM dg JOIN ig USING (g))"""
+
 ORACLES: dict[str, str] = {
+    "p8_clean": f"WITH {_WORDS} SELECT * EXCLUDE (fetched_at) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m)",
+    "p8_matches": rf"""WITH {_WORDS},
+        runs AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, item_id, k - j ORDER BY k) AS r FROM m),
+        whole AS (SELECT doc_id, item_id, CAST(count(*) + 11 AS INT) AS n_words, CAST(min(k) - 1 AS INT) AS doc_word, CAST(min(j) - 1 AS INT) AS item_word
+            FROM runs GROUP BY doc_id, item_id, k - j, r),
+        cut AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS x FROM d WHERE doc_id IN (SELECT doc_id FROM m)),
+        parts AS (SELECT doc_id, generate_subscripts(x, 1) AS i, unnest(x) AS p FROM cut),
+        ends AS (SELECT doc_id, i, p, sum(len(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM parts),
+        place AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS word, CAST(e - len(p) AS INT) AS s, CAST(e AS INT) AS e
+            FROM ends WHERE regexp_matches(p, '[\p{{L}}\p{{N}}]'))
+        SELECT doc_id, item_id, n_words, doc_word, item_word, a.s AS start_pos, b.e AS end_pos
+        FROM whole JOIN place a USING (doc_id) JOIN place b USING (doc_id) WHERE a.word = doc_word AND b.word = doc_word + n_words - 1""",
+    "p7_sizes": """
+        SELECT pack_id, doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size,
+            CAST(greatest(1, (coalesce(strlen(text), 0) + capacity - 1) // capacity) AS BIGINT) AS n_pieces, true AS fits FROM documents, pack_specs""",
     "p7_found": """
         SELECT DISTINCT pack_id, doc_id FROM documents, pack_specs WHERE strlen(text) > capacity""",
     "p8_found": r"""
