@@ -21,6 +21,8 @@ STATE = "term string, occurrences bigint, records bigint"
 #: Terms of a part, about; the number of parts is set when the store is first filled.
 PART_TERMS = 1 << 18
 LEAST_PARTS = 8
+#: The keys of a batch are broadcast to the records up to this number.
+FEW_KEYS = 1 << 19
 
 
 def latest(rows: DataFrame, key: str, tokens: str, at: str | None = None) -> DataFrame:
@@ -52,9 +54,10 @@ def signed_deltas(before: DataFrame | None, after: DataFrame | None) -> DataFram
     if not signed:
         raise ValueError("no change given")
     all_ = signed[0] if len(signed) == 1 else signed[0].unionByName(signed[1])
-    terms = all_.select("key", "sign", F.explode("tokens").alias("term")).where(F.col("term").isNotNull())
-    held = terms.groupBy("key", "sign", "term").agg(F.count("*").alias("n"))
-    change = held.groupBy("term").agg(F.sum(F.col("n") * F.col("sign")).alias("occurrences"), F.sum("sign").cast("bigint").alias("records"))
+    said = all_.select("sign", F.explode("tokens").alias("term"), F.lit(0).alias("record"))
+    held = all_.select("sign", F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("record"))
+    counted = said.unionByName(held).where(F.col("term").isNotNull()).groupBy("term")  # merges on the map side
+    change = counted.agg(F.sum(F.col("sign") * (1 - F.col("record"))).cast("bigint").alias("occurrences"), F.sum(F.col("sign") * F.col("record")).cast("bigint").alias("records"))
     touched = all_.agg(F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("occurrences"), F.coalesce(F.sum("sign"), F.lit(0)).cast("bigint").alias("records"))
     return change.where("occurrences <> 0 or records <> 0").unionByName(touched)
 
@@ -101,22 +104,24 @@ class Store:
         if deleted is not None:
             batch = batch.unionByName(deleted.where("key is not null").select(F.col("key"), F.lit(None).cast(batch.schema["best"].dataType).alias("best"), F.lit(True).alias("gone")))
             batch = batch.groupBy("key").agg(F.max("best").alias("best"), F.bool_or("gone").alias("gone"))
-        batch = storage.cut(batch, "batch")
+        none = F.lit(None).cast(batch.schema["best"].dataType)
         if n:
-            held = self.spark.read.parquet(*[p for p, _, _ in storage.children(self.spark, f"{self.path}/records")])
-            held = held.withColumn("v", F.col("version")).where(F.col("v") <= n)
-            known = held.join(batch.select("key"), "key", "left_semi").groupBy("key").agg(F.max(F.struct("v", "best", "gone")).alias("x"))
-            known = known.where(~F.coalesce("x.gone", F.lit(False))).select("key", F.col("x.best").alias("was"), F.lit(True).alias("known"))
-            both = batch.join(known, "key", "left")
+            batch = storage.cut(batch, "batch")
+            keys = batch.select("key")
+            held = self.spark.read.parquet(*[p for p, _, _ in storage.children(self.spark, f"{self.path}/records")]).where(F.col("version") <= n)
+            held = held.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, "key", "left_semi")
+            known = held.groupBy("key").agg(F.max(F.struct("version", "best", "gone")).alias("x")).where(~F.coalesce("x.gone", F.lit(False)))
+            both = batch.join(known.select("key", F.col("x.best").alias("was"), F.lit(True).alias("known")), "key", "left")
         else:
-            both = batch.select("*", F.lit(None).cast(batch.schema["best"].dataType).alias("was"), F.lit(None).cast("boolean").alias("known"))
+            both = batch.select("*", none.alias("was"), F.lit(None).cast("boolean").alias("known"))
+        gone = F.coalesce("gone", F.lit(False))
         both = both.withColumn("best", F.greatest("best", "was"))
-        changed = both.where(F.coalesce("gone", F.lit(False)) | F.col("known").isNull() | ~F.col("best").eqNullSafe(F.col("was")))
-        changed = changed.where(F.col("known") | ~F.coalesce("gone", F.lit(False)))
-        changed = storage.cut(changed.select("key", "best", "was", "known", "gone"), "changed")
-        changed.select("key", "best", "gone", F.lit(new).alias("version")).write.mode("overwrite").parquet(f"{self.path}/records/{new:08d}")
+        changed = both.where(F.when(gone, F.col("known")).otherwise(F.col("known").isNull() | ~F.col("best").eqNullSafe(F.col("was"))))
+        at_ = f"{self.path}/records/{new:08d}"
+        changed.select("key", "best", "was", "known", "gone", F.lit(new).alias("version")).write.mode("overwrite").parquet(at_)
+        changed = self.spark.read.parquet(at_)
         before = changed.where("known").select("key", F.col("was.tokens").alias("tokens"))
-        after = changed.where("gone is null or not gone").select("key", F.col("best.tokens").alias("tokens"))
+        after = changed.where(~gone).select("key", F.col("best.tokens").alias("tokens"))
         delta = storage.cut(signed_deltas(before if n else None, after), "delta")
         if not n:
             parts = max(LEAST_PARTS, -(-delta.count() // PART_TERMS))
