@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -109,10 +110,22 @@ def spoken(text: str, tag: str = "") -> set[str]:
     return {lang for lang, n in votes.items() if n == max(votes.values()) or lang == tag}
 
 
-_MARKS = re.compile(
-    "(?P<t>[" + re.escape(STRONG + STOPS + ELLIPSIS + GREEK_QUESTION) + "]+)|(?P<q>["
-    + re.escape("".join(OPENERS) + "".join(sorted(CLOSERS))) + "])|(?P<s>(?<=[฀-๿຀-໿])\\s+)"
-)
+_TERMINATORS = STRONG + STOPS + ELLIPSIS + GREEK_QUESTION
+_TERMINATOR = frozenset(_TERMINATORS)
+_MARK = frozenset(_TERMINATORS).union(OPENERS, CLOSERS)
+# scripts without terminators
+_UNMARKED = re.compile("[\u0e00-\u0e7f\u0e80-\u0eff]")
+
+
+@lru_cache(maxsize=1 << 14)
+def _finders(marks: str, unmarked: bool) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns for any of these marks, and for a run of terminators among them: a text holds a few of all there are, and
+    a small class is found ten times as quickly. With `unmarked`, the spaces of scripts without terminators too."""
+    ends = "".join(c for c in marks if c in _TERMINATOR)
+    any_ = [f"[{re.escape(marks)}]"] * bool(marks) + [f"(?<={_UNMARKED.pattern})\\s+"] * unmarked
+    return re.compile("|".join(any_) or r"(?!)"), re.compile(f"[{re.escape(ends)}]+" if ends else r"(?!)")
+
+
 _LINE = "(?:\\r\\n|[\\n\\r\\x0b\\x0c\\x85\\u2028])"
 _BLANK_LINE = re.compile(f"{_LINE}[^\\S\\n\\r\\x0b\\x0c\\x85\\u2028\\u2029]*{_LINE}\\s*|\\u2029\\s*")
 _WORD_BEFORE = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯऀ-ःऺ-्]|[.\-/](?=[^\W\d_]))*$")
@@ -134,6 +147,10 @@ def _languages(lists: dict[str, str]) -> dict[str, frozenset[str]]:
 _NUMBER, _TITLE, _NEVER = _languages(NUMBER), _languages(TITLE), _languages(NEVER)
 
 
+_STRONG, _ENDS = frozenset(STRONG), frozenset(STRONG + STOPS + ELLIPSIS)
+_SOFT_END = tuple(STOPS + ELLIPSIS)
+
+
 class Rules:
     """The rules for a document tagged with `lang`, if it is."""
 
@@ -145,6 +162,7 @@ class Rules:
         if text is None:
             return []
         out: list[tuple[int, int]] = []
+        self.marks, self.run = _finders("".join(sorted(_MARK.intersection(text))), bool(_UNMARKED.search(text)))
         at = 0
         for m in _BLANK_LINE.finditer(text):
             self._paragraph(text, at, m.start(), out)
@@ -166,20 +184,22 @@ class Rules:
         open_: list[tuple[str, int, bool]] = []  # mark, place, whether it began its sentence
         at = start
         while start < end:
-            m = _MARKS.search(text, at, end)
+            m = self.marks.search(text, at, end)
             if not m:
                 break
-            at = m.end()
-            if m["q"]:
+            at, c = m.end(), text[m.start()]
+            if c in _TERMINATOR:
+                at = self.run.match(text, m.start(), end).end()
+            elif not c.isspace():
                 self._quote(text, m.start(), start, open_)
                 continue
-            if m["s"]:
+            else:
                 nxt = text[at] if at < end else ""
                 if not open_ and nxt and not nxt.isdigit() and nxt not in "ๆฯ":
                     out.append((start, m.start()))
                     start = at
                 continue
-            stop, at = self._ends(text, m.start(), m.end(), start, end, open_)
+            stop, at = self._ends(text, m.start(), at, start, end, open_)
             if stop:
                 out.append((start, at))
                 start = at = min(_SPACE.match(text, at, end).end(), end)
@@ -204,7 +224,7 @@ class Rules:
     def _ends(self, text: str, a: int, b: int, start: int, end: int, open_: list[tuple[str, int, bool]]) -> tuple[bool, int]:
         """Whether the terminators text[a:b] end the sentence begun at `start`, and where it ends or the scan goes on."""
         run = text[a:b]
-        strong = any(c in STRONG for c in run)
+        strong = not _STRONG.isdisjoint(run)
         if not strong and all(c in GREEK_QUESTION for c in run):
             before = text[a - 1] if a > start else ""
             if not ("Ͱ" <= before <= "Ͽ" or "ἀ" <= before <= "῿"):
@@ -226,9 +246,9 @@ class Rules:
                 if k == j and c in CLOSERS and (c not in OPENERS or c in "\"＂" and (k + 1 >= end or text[k + 1].isspace())):
                     j = k + 1  # opened in an earlier paragraph or not at all
                     continue
-                if c in STRONG + STOPS + ELLIPSIS and j > b:
+                if c in _ENDS and j > b:
                     j = k + 1
-                    strong = strong or c in STRONG
+                    strong = strong or c in _STRONG
                     continue
                 break
             mark = open_[hit]
@@ -267,7 +287,7 @@ class Rules:
         if bracket:
             return (bracket[2] or not lower), j
         if strong:
-            return not (lower and (glued or run.endswith(tuple(STOPS + ELLIPSIS)))), j
+            return not (lower and (glued or run.endswith(_SOFT_END))), j
         if lower:
             return False, j
         if len(run) > 1 or run in ELLIPSIS:
