@@ -12,6 +12,8 @@ from lodestar.storage import cut
 
 #: Room for rounded scores.
 MARGIN = 1e-5
+#: Thresholds are broadcast up to this number of queries.
+FEW_QUERIES = 1 << 17
 
 
 def bounded_terms(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
@@ -22,44 +24,59 @@ def bounded_terms(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
     return known.select("qid", "term", "qtf", "bound", F.sum("bound").over(run).alias("cum_bound"))
 
 
-def thresholds(bounded: DataFrame, index: ix.Index, k: int, model: str, strongest: int) -> DataFrame:
-    """qid, theta: a lower bound on the k-th score, from the `strongest` terms of each query alone; 0 if they reach
-    fewer than k documents."""
+def _strongest(bounded: DataFrame, strongest: int) -> DataFrame:
+    """The terms with a mark on the `strongest` of each query."""
     order = Window.partitionBy("qid").orderBy(F.col("bound").desc(), F.col("term"))
-    few = bounded.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= strongest).select("qid", "term", "qtf")
-    ranked = search.top_k(search.score(few, index, model), k)
-    return ranked.where(F.col("rank") == k).select("qid", F.col("score").alias("theta"))
+    return bounded.withColumn("is_strong", F.row_number().over(order) <= strongest)
 
 
-def essential_terms(terms: DataFrame, index: ix.Index, k: int = 10, model: str = "bm25", strongest: int = 8) -> DataFrame:
-    """qid, term, qtf, cum_bound, is_essential: a list is not essential if it and all weaker ones together stay below
-    the k-th score."""
-    bounded = bounded_terms(terms, index, model)
-    theta = thresholds(bounded, index, k, model, strongest)
-    return _marked(bounded, theta).drop("bound")
+def _sums(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
+    return search.contributions(terms.select("qid", "term", "qtf"), index, model).groupBy("qid", "doc_id").agg(F.sum("part").alias("part"))
+
+
+def _looked_up(docs: DataFrame, terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
+    """qid, doc_id, part of each of the terms (qid, term, qtf) in each of the documents (qid, doc_id) that holds it."""
+    wanted = docs.select("qid", "doc_id").join(search.weighted(terms.select("qid", "term", "qtf"), index).select("qid", "term", "weight"), "qid")
+    return index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", search.part(index, model))
+
+
+def _theta(sums: DataFrame, weak: DataFrame, index: ix.Index, k: int, model: str) -> DataFrame:
+    """qid, theta: the least whole score of the k documents that are best by `sums` alone, where there are as many: k
+    documents score no less. `weak` are the terms whose lists have no part in the sums."""
+    best = search.top_k(sums.select("qid", "doc_id", F.col("part").alias("score")), k).select("qid", "doc_id", F.col("score").alias("part"))
+    whole = best.unionByName(_looked_up(best, weak, index, model)).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), search.DIGITS).alias("score"))
+    return whole.where("score > 0").groupBy("qid").agg(F.min("score").alias("theta"), F.count("*").alias("n")).where(F.col("n") == k).select("qid", "theta")
 
 
 def _marked(bounded: DataFrame, theta: DataFrame) -> DataFrame:
     essential = F.col("cum_bound") >= F.coalesce("theta", F.lit(0.0)) - MARGIN
-    return bounded.join(theta, "qid", "left").select("qid", "term", "qtf", "bound", "cum_bound", essential.alias("is_essential"))
+    return bounded.join(theta, "qid", "left").withColumn("is_essential", essential)
+
+
+def essential_terms(terms: DataFrame, index: ix.Index, k: int = 10, model: str = "bm25", strongest: int = 8) -> DataFrame:
+    """qid, term, qtf, cum_bound, is_essential: a list is not essential if it and all weaker ones together stay below a
+    score that k documents reach: those best by the `strongest` terms of the query; 0 if these terms reach fewer."""
+    bounded = cut(_strongest(bounded_terms(terms, index, model), strongest), "bounded")
+    theta = _theta(_sums(bounded.where("is_strong"), index, model), bounded.where("not is_strong"), index, k, model)
+    return _marked(bounded, theta).select("qid", "term", "qtf", "cum_bound", "is_essential")
 
 
 def pruned_top_k(terms: DataFrame, index: ix.Index, k: int = 10, model: str = "bm25", strongest: int = 8) -> DataFrame:
     """As exhaustive disjunctive top k, with less of the lists read.
 
-    Essential lists are scored whole. A document is followed up only if its sum so far and the bounds of all other lists
-    together reach the threshold; of those other lists just the postings of such documents are looked up.
+    The sums over the strongest lists are kept; the whole scores of the k documents best by them give the threshold. The
+    other essential lists are added to the sums. A document is followed up only if its sum so far and the bounds of the
+    lists left together reach the threshold; of those lists just the postings of such documents are looked up.
     """
-    bounded = cut(bounded_terms(terms, index, model), "bounded")
-    theta = cut(thresholds(bounded, index, k, model, strongest), "theta")
-    marked = cut(_marked(bounded, theta), "marked")
-    main = search.contributions(marked.where("is_essential").select("qid", "term", "qtf"), index, model).groupBy("qid", "doc_id").agg(F.sum("part").alias("part"))
-    rest = marked.where("not is_essential").groupBy("qid").agg(F.max("cum_bound").alias("more"))
-    open_ = main.join(rest, "qid", "left").join(theta, "qid", "left")
-    alive = open_.where(F.col("part") + F.coalesce("more", F.lit(0.0)) >= F.coalesce("theta", F.lit(0.0)) - MARGIN)
+    bounded = cut(_strongest(bounded_terms(terms, index, model), strongest), "bounded")
+    first = cut(_sums(bounded.where("is_strong"), index, model), "strong")
+    marked = cut(_marked(bounded, _theta(first, bounded.where("not is_strong"), index, k, model)), "marked")
+    more = _sums(marked.where("is_essential and not is_strong"), index, model)
+    left = marked.where("not is_essential and not is_strong")
+    limits = marked.groupBy("qid").agg(F.max("theta").alias("theta")).join(left.groupBy("qid").agg(F.max("cum_bound").alias("rest")), "qid", "left")
+    main = first.unionByName(more).groupBy("qid", "doc_id").agg(F.sum("part").alias("part"))
+    alive = main.join(F.broadcast(limits) if limits.count() <= FEW_QUERIES else limits, "qid")
+    alive = alive.where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.coalesce("theta", F.lit(0.0)) - MARGIN)
     alive = cut(alive.select("qid", "doc_id", "part"), "alive")
-    asked = search.weighted(marked.where("not is_essential").select("qid", "term", "qtf"), index).select("qid", "term", "weight")
-    wanted = alive.select("qid", "doc_id").join(asked, "qid")
-    looked_up = index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", search.part(index, model))
-    total = alive.unionByName(looked_up).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), search.DIGITS).alias("score"))
+    total = alive.unionByName(_looked_up(alive, left, index, model)).groupBy("qid", "doc_id").agg(F.round(F.sum("part"), search.DIGITS).alias("score"))
     return search.top_k(total.where("score > 0"), k)

@@ -423,8 +423,9 @@ ORACLES: dict[str, str] = {
         b AS (SELECT qid, term, qtf, qtf * ub AS bound FROM q JOIN ub USING (term)),
         c AS (SELECT *, sum(bound) OVER (PARTITION BY qid ORDER BY bound, term ROWS UNBOUNDED PRECEDING) AS cum,
             row_number() OVER (PARTITION BY qid ORDER BY bound DESC, term) AS strength FROM b),
-        s AS (SELECT qid, doc_id, round(sum(qtf * bm25), 6) AS score FROM c JOIN sc USING (term) WHERE strength <= 8 GROUP BY ALL),
-        t AS (SELECT qid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s WHERE score > 0) WHERE r = {K})
+        s AS (SELECT qid, doc_id, sum(qtf * bm25) FILTER (strength <= 8) AS part, round(sum(qtf * bm25), 6) AS score FROM c JOIN sc USING (term) GROUP BY ALL),
+        o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY part DESC, doc_id) AS r FROM s WHERE part IS NOT NULL),
+        t AS (SELECT qid, min(score) AS score FROM o WHERE r <= {K} AND score > 0 GROUP BY qid HAVING count(*) = {K})
         SELECT qid, term, round(cum, 4) AS cum_ub, cum >= coalesce(score, 0) - 1e-5 AS is_essential FROM c LEFT JOIN t USING (qid)""",
     "run_file": f"""{_top(_FILE, 'bm25')} SELECT qid || ' Q0 ' || doc_id || ' ' || rank || ' ' || printf('%.6f', score) || ' bm25' AS line FROM r WHERE rank <= {K}""",
     "single_query": _ranked("SELECT 'q' AS qid, 'how long does the sturdy bridge last' AS body", "bm25").rpartition("SELECT qid, ")[0] + f"SELECT doc_id, rank, score FROM r WHERE rank <= {K}",
