@@ -29,3 +29,30 @@ def assert_same(spark, query, sql, sf=SF):
     assert got[0] == want[0]
     extra, missing = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
     assert got[1] == want[1], (len(got[1]), len(want[1]), list(extra)[:5], list(missing)[:5])
+
+
+def heaviest(spark, run):
+    """Of the stages that `run` executes over shuffled rows, the most that a task reads as a multiple of the mean."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    gateway = spark.sparkContext._gateway
+    listed = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    bus.waitUntilEmpty()
+    known = listed()
+    before = {known.apply(k).stageId() for k in range(known.size())}
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        run()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    bus.waitUntilEmpty()
+    worst, stages = 0.0, listed()
+    for s in (stages.apply(k) for k in range(stages.size())):
+        if s.stageId() in before or s.shuffleReadRecords() < 20_000 or s.numTasks() < 4:
+            continue
+        tasks = store.taskList(s.stageId(), s.attemptId(), 1000)
+        read = [tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size()) if tasks.apply(i).taskMetrics().isDefined()]
+        worst = max(worst, max(read) * len(read) / sum(read))
+    return worst

@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from compare import heaviest
 from pyspark.sql import functions as F
 
+from lodestar.operators import index as ix
 from lodestar.operators import records, skew
 
 
@@ -127,3 +129,23 @@ def test_integer_patterns():
         pattern = re.compile(records.integer_at_most(limit))
         for n in {0, 1, 9, 10, limit - 1, limit, limit + 1, limit * 10, 2 * limit} - {-1}:
             assert bool(pattern.fullmatch(str(n))) == (n <= limit), (limit, n)
+
+
+@pytest.fixture(scope="module")
+def hot(spark):
+    """200,000 postings, 90 % of one term."""
+    term = F.when(F.col("id") % 10 != 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")))
+    return spark.range(200_000).select(term.alias("term"), F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFF)).alias("doc_id"), F.lit(1).alias("tf")).dropDuplicates(["term", "doc_id"])
+
+
+@pytest.mark.parametrize("operator", ["quantiles", "counts", "blocks", "seek"])
+def test_no_task_gets_the_rows_of_a_hot_key(spark, hot, operator, monkeypatch):
+    monkeypatch.setattr(ix, "RANGE_BITS", 14)
+    targets = hot.where("doc_id % 97 = 0").select("term", F.col("doc_id").alias("target"))
+    run = {
+        "quantiles": lambda: skew.exact_quantiles(hot, ["term"], "doc_id", [50, 99]).collect(),
+        "counts": lambda: skew.wrong_counts(hot.select("term", F.lit(1).alias("df")).distinct(), hot, ["term"], "df", "doc_id").collect(),
+        "blocks": lambda: ix.blocks(hot).select("term", "block_no", "n").collect(),
+        "seek": lambda: ix.next_at_least(hot, targets).collect(),
+    }[operator]
+    assert 0 < heaviest(spark, run) <= 2
