@@ -6,6 +6,7 @@ from collections import Counter
 from datetime import datetime
 
 import pytest
+from compare import heaviest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -46,6 +47,13 @@ def test_distinctive_postings_match_brute_force(spark, hot_rows, hot_terms, monk
     assert len(got) == len(want)
 
 
+def test_no_task_gets_the_rows_of_a_hot_term(spark, monkeypatch):
+    monkeypatch.setattr(weights, "HOT_ROWS", 5000)
+    term = F.when(F.col("id") % 10 != 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")))
+    data = spark.range(100_000).select(F.col("id").alias("docid"), term.alias("term"), F.lit(1).alias("tf"), F.lit(None).cast("timestamp").alias("at"))
+    assert 0 < heaviest(spark, lambda: weights.distinctive_postings(data, "docid", "term", "tf", "at").collect()) <= 2
+
+
 def test_distinctive_postings_of_an_empty_table(spark):
     assert weights.distinctive_postings(spark.createDataFrame([], POSTINGS), "docid", "term", "tf", "written_at").collect() == []
 
