@@ -87,6 +87,33 @@ def unary_get(data: bytes, n: int, i: int) -> int:
     return int(unary_decode(data, n)[i])
 
 
+def read_bits(data: bytes, at: int, n: int) -> int:
+    """The number that n bits from bit `at` on make, the highest first."""
+    first, last = at // 8, -(-(at + n) // 8)
+    return int.from_bytes(data[first:last]) >> (8 * last - at - n) & ((1 << n) - 1)
+
+
+def write_bits(data: bytearray, at: int, n: int, value: int) -> int:
+    """Set n bits from bit `at` on to a number; the bit after them."""
+    first, last = at // 8, -(-(at + n) // 8)
+    shift = 8 * last - at - n
+    kept = int.from_bytes(data[first:last]) & ~(((1 << n) - 1) << shift)
+    data[first:last] = (kept | value << shift).to_bytes(last - first)
+    return at + n
+
+
+def read_unary(data: bytes, at: int) -> tuple[int, int]:
+    """The ones from bit `at` on up to a zero, and the bit after it."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=at // 8))[at % 8 :]
+    n = int(np.argmin(bits))
+    return n, at + n + 1
+
+
+def write_unary(data: bytearray, at: int, value: int) -> int:
+    """Set the bits from `at` on to that many ones and a zero; the bit after it."""
+    return write_bits(data, at, value + 1, (1 << value + 1) - 2)
+
+
 def encode_ids(ids: Column) -> Column:
     @F.pandas_udf("binary")
     def run(lists: pd.Series) -> pd.Series:

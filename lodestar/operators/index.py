@@ -210,6 +210,32 @@ def next_at_least(postings: DataFrame, targets: DataFrame) -> DataFrame:
         low, high, bits = low >> bits, (high >> bits) + 1, min(bits, 8)
 
 
+def blocks_at(blocks_: DataFrame, targets: DataFrame) -> DataFrame:
+    """The columns of `blocks_`, and target: for each (term, target) the one block in which the first document from target
+    on is, found by the blocks' last documents; no list is decoded. Targets beyond a term's last document have no row."""
+    ends = next_at_least(blocks_.select("term", F.col("max_doc_id").alias("doc_id")), targets).where("doc_id is not null")
+    return blocks_.join(ends.select("term", F.col("doc_id").alias("max_doc_id"), "target"), ["term", "max_doc_id"])
+
+
+def next_at_least_in_blocks(blocks_: DataFrame, targets: DataFrame) -> DataFrame:
+    """As `next_at_least`, over compressed blocks: of each list only the blocks that hold an answer are decoded."""
+    hit = cut(blocks_at(blocks_, targets).select("term", "max_doc_id", "target"), "hits")
+    wanted = blocks_.join(hit.select("term", "max_doc_id").distinct(), ["term", "max_doc_id"], "left_semi")
+    lists = decompress(wanted).select("term", "max_doc_id", "doc_ids").join(hit, ["term", "max_doc_id"])
+    found = lists.select("term", "target", F.array_min(F.filter("doc_ids", lambda d: d >= F.col("target"))).alias("doc_id"))
+    return targets.select("term", "target").distinct().join(found, ["term", "target"], "left")
+
+
+def postings_at(index: Index, wanted: DataFrame) -> DataFrame:
+    """Postings among which are all of the (term, doc_id) in `wanted` that the index has: of a compressed index those of
+    the blocks in which they may be, else all."""
+    if index.blocks is None:
+        return index.postings
+    asked = wanted.select("term", F.col("doc_id").alias("target"))
+    near = blocks_at(index.blocks.select("term", "max_doc_id", "min_doc_id"), asked).where("min_doc_id <= target")
+    return unblocked(index.blocks.join(near.select("term", "max_doc_id").distinct(), ["term", "max_doc_id"], "left_semi"))
+
+
 def save(index: Index, path: str, compressed: bool = False) -> None:
     """Write the tables in a new folder below `path`, then name it as the current version, so a failure leaves the
     index that was there; older versions are deleted at the end.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import scoring, text
 from lodestar.operators import index as ix
+from lodestar.storage import cut
 
 DIGITS = 6
 
@@ -55,13 +56,16 @@ def contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
 
 def conjunctive_contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
     """qid, doc_id, need, part of the documents that hold the rarest known term of the query; need is the number of
-    known terms. Only those documents can hold them all, so the lists of the others are not gone through query by query."""
+    known terms. Only those documents can hold them all, so the lists of the others are not gone through query by query; of
+    a compressed index only the blocks in which such a document may be are decoded."""
     by = Window.partitionBy("qid")
     asked = weighted(terms, index).withColumns({"need": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("df", "term"))})
     rare = asked.where("_r = 1").select("qid", "term")
     brought = index.postings.select("term", "doc_id").join(rare, "term").select("qid", "doc_id")
     wanted = brought.join(asked.select("qid", "term", "weight", "need"), "qid")
-    return index.postings.join(wanted, ["term", "doc_id"]).select("qid", "doc_id", "need", part(index, model))
+    if index.blocks is not None:
+        wanted = cut(wanted, "wanted")
+    return ix.postings_at(index, wanted).join(wanted, ["term", "doc_id"]).select("qid", "doc_id", "need", part(index, model))
 
 
 def score(terms: DataFrame, index: ix.Index, model: str = "bm25", conjunctive: bool = False) -> DataFrame:

@@ -146,12 +146,21 @@ def lexicon_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return search.known_terms(search.query_terms(_bench(spark, sf)), index.lexicon)
 
 
+def _targets(spark: SparkSession, sf: str, index: ix.Index) -> DataFrame:
+    """A place in the ids, or a little beyond them, for every term of the query file."""
+    target = F.expr(f"cast((ascii(term) * 7919 + length(term) * 104729 + length(qid) * 37) % ({_TOP}) as bigint)")
+    top = index.doc_index.agg(F.max("doc_id").alias("top"))
+    return search.query_terms(_queries(spark, sf)).select("*", top.scalar().alias("top")).select("term", target.alias("target")).distinct()
+
+
 def next_geq(spark: SparkSession, sf: str) -> DataFrame:
     index = stored_index(spark, sf)
-    # places all over the ids and a little beyond them
-    target = F.expr(f"cast((ascii(term) * 7919 + length(term) * 104729 + length(qid) * 37) % ({_TOP}) as bigint)")
-    targets = search.query_terms(_queries(spark, sf)).crossJoin(F.broadcast(index.doc_index.agg(F.max("doc_id").alias("top")))).select("term", target.alias("target")).distinct()
-    return ix.next_at_least(index.postings, targets)
+    return ix.next_at_least(index.postings, _targets(spark, sf, index))
+
+
+def next_geq_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    index = stored_index(spark, sf, compressed=True)
+    return ix.next_at_least_in_blocks(index.blocks, _targets(spark, sf, index))
 
 
 def min_docid(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "codec_roundtrip": codec_roundtrip,
     "lexicon_lookup": lexicon_lookup,
     "next_geq": next_geq,
+    "next_geq_blocks": next_geq_blocks,
     "min_docid": min_docid,
     "bm25_or_topk": _topk(_bench, "bm25"),
     "tfidf_or_topk": _topk(_bench, "tfidf"),
@@ -399,6 +409,8 @@ ORACLES: dict[str, str] = {
     "lexicon_lookup": f"WITH {_LEX}, {_query_cte(_BENCH)} SELECT qid, term, qtf, df FROM q JOIN lx USING (term)",
     "next_geq": f"""WITH {_P}, {_query_cte(_FILE)}, t AS (SELECT DISTINCT term, CAST((ascii(term) * 7919 + len(term) * 104729 + len(qid) * 37) % (top + top // 10 + 2) AS BIGINT) AS target FROM q, (SELECT max(doc_id) AS top FROM documents))
         SELECT t.term, target, min(doc_id) AS doc_id FROM t LEFT JOIN p ON p.term = t.term AND doc_id >= target GROUP BY ALL""",
+    "next_geq_blocks": f"""WITH {_P}, {_query_cte(_FILE)}, t AS (SELECT DISTINCT term, CAST((ascii(term) * 7919 + len(term) * 104729 + len(qid) * 37) % (top + top // 10 + 2) AS BIGINT) AS target FROM q, (SELECT max(doc_id) AS top FROM documents))
+        SELECT t.term, target, min(doc_id) AS doc_id FROM t LEFT JOIN p ON p.term = t.term AND doc_id >= target GROUP BY ALL""",
     "min_docid": f"WITH {_P}, {_query_cte(_FILE)} SELECT qid, min(doc_id) AS doc_id FROM q JOIN p USING (term) GROUP BY qid",
     "bm25_or_topk": _ranked(_BENCH, "bm25"),
     "tfidf_or_topk": _ranked(_BENCH, "tfidf"),

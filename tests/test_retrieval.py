@@ -90,6 +90,23 @@ def test_codec_goldens():
     assert codec.elias_fano_get(codec.elias_fano(c), 11, 512, 10) == 512
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.tuples(st.just("u"), st.integers(0, 40)), st.tuples(st.integers(1, 33), st.integers(0, 2**33 - 1))), max_size=30), st.integers(0, 20))
+def test_bits_at_an_offset(values, first):
+    data, at = bytearray(b"\xff" * 400), first
+    values = [(k, v if k == "u" else v % (1 << k)) for k, v in values]
+    for k, v in values:
+        at = codec.write_unary(data, at, v) if k == "u" else codec.write_bits(data, at, k, v)
+    assert all(b == 255 for b in data[: first // 8]) and all(b == 255 for b in data[-(-at // 8) :])
+    at = first
+    for k, v in values:
+        if k == "u":
+            got, at = codec.read_unary(bytes(data), at)
+        else:
+            got, at = codec.read_bits(bytes(data), at, k), at + k
+        assert got == v
+
+
 @pytest.mark.parametrize("n", [25, 100, 1000])
 def test_unary_size(n):
     assert codec.unary_size(range(1, n + 1)) == math.ceil((n * (n + 1) // 2 + n) / 8)
@@ -212,6 +229,11 @@ def test_compressed_index_is_saved_and_searched(spark, tmp_path, monkeypatch):
     ix.save(plain, f"file://{tmp_path}/ix", compressed=True)
     back = ix.load(spark, f"file://{tmp_path}/ix")
     assert back.blocks.where("term = 'common'").count() > 20
+    targets = spark.createDataFrame([(t, x) for t in ("common", "aa", "zz") for x in (-100, -40, 0, 7, 300, 659, 660)], "term string, target bigint")
+    want = sorted(map(tuple, ix.next_at_least(plain.postings, targets).collect()), key=repr)
+    assert sorted(map(tuple, ix.next_at_least_in_blocks(back.blocks, targets).select("term", "target", "doc_id").collect()), key=repr) == want
+    near = ix.postings_at(back, spark.createDataFrame([("common", 100)], "term string, doc_id bigint"))
+    assert 0 < near.count() < 60 and near.where("doc_id = 100").count() == 1
     assert sorted(map(tuple, back.postings.collect())) == sorted(map(tuple, plain.postings.collect()))
     asked = spark.createDataFrame([("1", "aa bb common"), ("2", "common")], "qid string, query_text string")
     for conjunctive in (False, True):
