@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,10 +38,11 @@ def stored_index(spark: SparkSession, sf: str, parsed: bool = False, compressed:
     files = tuple(children(spark, f"{sf}/documents.parquet"))
     key = (spark.sparkContext.applicationId, sf, files, parsed, compressed)
     if key not in _STORED:
-        path = f"{shared_dir(spark)}/index-{len(_STORED)}"
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         stop = collection.read_stopwords(spark) if parsed else None
         with scratch(spark):
-            ix.save(ix.build(_docs(spark, sf), parsed=parsed, stop=stop), path, compressed)
+            built = stored_index(spark, sf, parsed) if compressed else ix.build(_docs(spark, sf), parsed=parsed, stop=stop)
+            ix.save(built, path, compressed)
         _STORED[key] = path
     return ix.load(spark, _STORED[key])
 
