@@ -195,6 +195,11 @@ def plus_queries(spark: SparkSession, sf: str) -> DataFrame:
     return asked.where(text.is_conjunctive(F.col("query_text")))
 
 
+def _doubled(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries that name each of their terms twice."""
+    return _queries(spark, sf).select("qid", F.concat("query_text", F.lit(" "), "query_text").alias("query_text"))
+
+
 def unknown_terms_and(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_batch(plus_queries(spark, sf), stored_index(spark, sf), K, "tfidf", True)
 
@@ -254,6 +259,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_parsed_topk": _topk(_bench, "bm25", parsed=True),
     "single_term_topk": single_term_topk,
     "every_term_topk": every_term_topk,
+    "dup_terms_topk": _topk(_doubled, "bm25"),
     "unknown_terms_and": unknown_terms_and,
     "essential_terms": essential_terms,
     "maxscore_topk": maxscore_topk,
@@ -424,6 +430,7 @@ ORACLES: dict[str, str] = {
     "tfidf_query_file_topk": _ranked(_FILE, "tfidf"),
     "bm25_compressed_topk": _ranked(_BENCH, "bm25"),
     "bm25_and_compressed_topk": _ranked(_FILE, "bm25", True),
+    "dup_terms_topk": _ranked("SELECT qid, query_text || ' ' || query_text AS body FROM queries", "bm25"),
     "unknown_terms_and": _ranked(_PLUS, "tfidf", True),
     "single_term_topk": f"""WITH {_LEX}, q AS (SELECT term, term AS qid FROM lx ORDER BY df DESC, term LIMIT 20),
         s AS (SELECT qid, doc_id, round(bm25, 6) AS score FROM q JOIN sc USING (term)),
