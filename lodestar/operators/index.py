@@ -20,6 +20,10 @@ from lodestar.storage import cut, spread
 BLOCK_BYTES = 2048
 #: Document ids with the same higher bits make a range; a term's postings of one range meet in one task.
 RANGE_BITS = 16
+#: A term in more documents than this is common: its postings are dealt to several tasks where they are shuffled.
+HOT_ROWS = 1 << 20
+#: The list of common terms is broadcast up to this length.
+HOT_TERMS = 1 << 17
 
 
 class IndexMissing(FileNotFoundError):
@@ -30,7 +34,8 @@ class IndexMissing(FileNotFoundError):
 class Index:
     """postings (term, doc_id, tf, doc_len), lexicon (term, df, max_doc_id, idf, bm25_ub, tfidf_ub), doc_index
     (doc_id, doc_len), stats (n_docs, total_len, vocab_size, avgdl), and how the text was parsed. An index that was saved
-    compressed has its blocks too, and its postings are what these decode to."""
+    compressed has its blocks too, and its postings are what these decode to; hot (term, slots) are the common terms of an
+    index that was saved, if there are any, and into how many parts their postings are dealt."""
 
     postings: DataFrame
     lexicon: DataFrame
@@ -39,6 +44,7 @@ class Index:
     parsed: bool = False
     stop: DataFrame | None = None
     blocks: DataFrame | None = None
+    hot: DataFrame | None = None
 
     def n_docs(self) -> Column:
         return self.stats.select("n_docs").scalar()
@@ -236,6 +242,18 @@ def postings_at(index: Index, wanted: DataFrame) -> DataFrame:
     return unblocked(index.blocks.join(near.select("term", "max_doc_id").distinct(), ["term", "max_doc_id"], "left_semi"))
 
 
+def with_postings(index: Index, asked: DataFrame) -> DataFrame:
+    """The postings of the terms in `asked`, joined to its rows by term. If this comes to a shuffle, each common term goes to
+    as many tasks as it has slots: a posting to the one that its document says, the rows of `asked` to all of them."""
+    if index.hot is None:
+        return index.postings.join(asked, "term")
+    dealt = index.postings.join(F.broadcast(index.hot), "term", "left")
+    dealt = dealt.withColumn("_slot", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("slots")).cast("int"), F.lit(0))).drop("slots")
+    copies = asked.join(F.broadcast(index.hot), "term", "left")
+    copies = copies.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.coalesce("slots", F.lit(1)) - 1))).drop("slots")
+    return dealt.join(copies, ["term", "_slot"]).drop("_slot")
+
+
 def save(index: Index, path: str, compressed: bool = False) -> None:
     """Write the tables in a new folder below `path`, then name it as the current version, so a failure leaves the
     index that was there; older versions are deleted at the end.
@@ -259,7 +277,9 @@ def save(index: Index, path: str, compressed: bool = False) -> None:
     index.stats.write.parquet(f"{version}/stats")
     if index.stop is not None:
         index.stop.write.parquet(f"{version}/stop")
-    flags = {"parsed": index.parsed, "stop": index.stop is not None, "compressed": compressed}
+    common = spark.read.parquet(f"{version}/lexicon").where(F.col("df") > HOT_ROWS)
+    common.select("term", F.ceil(F.col("df") / HOT_ROWS).cast("int").alias("slots")).write.parquet(f"{version}/hot")
+    flags = {"parsed": index.parsed, "stop": index.stop is not None, "compressed": compressed, "hot": spark.read.parquet(f"{version}/hot").count()}
     spark.range(1).select(*[F.lit(v).alias(k) for k, v in flags.items()], F.current_timestamp().alias("created")).write.parquet(f"{version}/meta")
     for p, _, _ in old:
         storage.delete(spark, p)
@@ -280,4 +300,5 @@ def load(spark: SparkSession, path: str) -> Index:
         raise IndexMissing(f"a part of the index at {path} is missing: {e}") from e
     blocks_ = stored if meta["compressed"] else None
     stop = spark.read.parquet(f"{at}/stop") if meta["stop"] else None
-    return Index(unblocked(stored) if meta["compressed"] else stored, lexicon, doc_index, stats, meta["parsed"], stop, blocks_)
+    hot = spark.read.parquet(f"{at}/hot") if 0 < meta["hot"] <= HOT_TERMS else None
+    return Index(unblocked(stored) if meta["compressed"] else stored, lexicon, doc_index, stats, meta["parsed"], stop, blocks_, hot)

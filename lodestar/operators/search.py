@@ -3,8 +3,7 @@
 A batch is one job: query terms join the postings, contributions are summed per query and document, and a ranked limit
 per query keeps the best. A posting's contribution does not depend on the query but for the number of times the term is
 asked, so it is computed on the side of the postings. While the query terms are few they are broadcast and no posting
-moves; a batch too large for that shuffles postings by term, and the list of a common term is then split between tasks by
-adaptive skew handling, which divides the posting side of such a join and repeats the query side.
+moves; a batch too large for that shuffles postings by term, those of a common term to several tasks.
 """
 
 from __future__ import annotations
@@ -51,7 +50,7 @@ def part(index: ix.Index, model: str) -> Column:
 
 def contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
     """qid, doc_id, term, part: what each term of a query adds to the score of each document that holds it."""
-    return index.postings.join(weighted(terms, index), "term").select("qid", "doc_id", "term", part(index, model))
+    return ix.with_postings(index, weighted(terms, index)).select("qid", "doc_id", "term", part(index, model))
 
 
 def conjunctive_contributions(terms: DataFrame, index: ix.Index, model: str) -> DataFrame:
@@ -61,7 +60,7 @@ def conjunctive_contributions(terms: DataFrame, index: ix.Index, model: str) ->
     by = Window.partitionBy("qid")
     asked = weighted(terms, index).withColumns({"need": F.count("*").over(by), "_r": F.row_number().over(by.orderBy("df", "term"))})
     rare = asked.where("_r = 1").select("qid", "term")
-    brought = index.postings.select("term", "doc_id").join(rare, "term").select("qid", "doc_id")
+    brought = ix.with_postings(index, rare).select("qid", "doc_id")
     wanted = brought.join(asked.select("qid", "term", "weight", "need"), "qid")
     if index.blocks is not None:
         wanted = cut(wanted, "wanted")

@@ -24,10 +24,6 @@ CELLS = 1 << CELLS_BITS
 WORD_BITS = 6
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def _levels(finest: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
     """The histogram `finest` (keys, _cell, _n) and its coarser levels, up to the one where no key has more than CELLS
     cells. Only the least and the greatest cell of all are taken to the driver."""

@@ -7,7 +7,7 @@ import time
 from collections import Counter
 
 import pytest
-from compare import SF
+from compare import SF, heaviest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -241,6 +241,21 @@ def test_compressed_index_is_saved_and_searched(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, search.search_batch(asked, back, 9, conjunctive=conjunctive).collect())) == want
 
 
+def test_common_terms_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    words = F.concat(F.lit("common "), F.lit("w"), (F.col("id") % 5000).cast("string"), F.lit(" x"), (F.col("id") % 7000).cast("string"))
+    index = ix.build(spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "w1").otherwise(words).alias("text")))
+    ix.save(index, f"file://{tmp_path}/plain")
+    monkeypatch.setattr(ix, "HOT_ROWS", 1000)
+    ix.save(index, f"file://{tmp_path}/dealt")
+    plain, dealt = (ix.load(spark, f"file://{tmp_path}/{n}") for n in ("plain", "dealt"))
+    assert plain.hot is None and [(r.term, r.slots) for r in dealt.hot.collect()] == [("common", 40)]
+    asked = spark.createDataFrame([(str(k), f"common w{k} x{k}") for k in range(60)], "qid string, query_text string")
+    for conjunctive in (False, True):
+        want = sorted(map(tuple, search.search_batch(asked, plain, 5, conjunctive=conjunctive).collect()))
+        assert sorted(map(tuple, search.search_batch(asked, dealt, 5, conjunctive=conjunctive).collect())) == want
+    assert heaviest(spark, lambda: search.contributions(search.query_terms(asked), dealt, "bm25").count()) <= 2
+
+
 def test_a_broken_off_save_leaves_the_index(spark, corpus, tmp_path):
     _, index = corpus
     path = f"file://{tmp_path}/ix"
