@@ -23,6 +23,7 @@ import pickle
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,7 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {f"{w}>{r}": ((w, r),) for w, r
 _MULTI = {"utf-8", "gbk", "big5", "shift_jis", "euc_jp", "euc_kr"}
 
 
+@lru_cache(maxsize=None)
 def _table(name: str) -> list[str]:
     """Character of each byte; a byte without one stands for itself, as lenient decoders have it."""
     out = []
