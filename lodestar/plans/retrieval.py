@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import codec, scoring, stem, text
 from lodestar.operators import index as ix
-from lodestar.operators import prune, search
+from lodestar.operators import batch, prune, search
 from lodestar.sources import collection, runfile
 from lodestar.storage import children, scratch, shared_dir, table
 
@@ -176,6 +176,13 @@ def _topk(queries: Callable, model: str, conjunctive: bool = False, parsed: bool
     return run
 
 
+def _file_topk(queries: Callable, model: str, conjunctive: bool = False, compressed: bool = False) -> Callable:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return batch.search_file(queries(spark, sf), stored_index(spark, sf, compressed=compressed), K, model, conjunctive)
+
+    return run
+
+
 def single_term_topk(spark: SparkSession, sf: str) -> DataFrame:
     index = stored_index(spark, sf)
     common = index.lexicon.orderBy(F.col("df").desc(), "term").limit(20).select("term", F.col("term").alias("qid"), F.lit(1).alias("qtf"))
@@ -255,7 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tfidf_or_topk": _topk(_bench, "tfidf"),
     "bm25_and_topk": _topk(_queries, "bm25", True),
     "tfidf_and_topk": _topk(_queries, "tfidf", True),
-    "bm25_query_file_topk": _topk(_queries, "bm25"),
+    "bm25_query_file_topk": _file_topk(_queries, "bm25"),
     "bm25_parsed_topk": _topk(_bench, "bm25", parsed=True),
     "single_term_topk": single_term_topk,
     "every_term_topk": every_term_topk,
