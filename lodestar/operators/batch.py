@@ -128,6 +128,37 @@ class Shard:
                 docs, scores = docs[held], scores[held] + q * part[held]
             yield n, *self.best(docs, scores)
 
+    def pruned(self, bags: list[tuple]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As any_of, by upper bounds: the lists are added up from the highest bound on, until those left together stay
+        below a score that k documents have reached; these are only looked up for documents that can still reach it."""
+        most = {t: float(p.max()) for t, p in self.parts.items()}
+        for n, bag in bags:
+            lists = sorted(((q * most[t], t, q) for t, q in bag if t in self.docs), reverse=True)
+            rest = np.r_[np.cumsum([u for u, _, _ in lists][::-1])[::-1], 0.0]
+            reached, seen = 0.0, []
+            for j, (_, t, q) in enumerate(lists):
+                if rest[j] < reached - _SLACK:
+                    break
+                own = self.docs[t]
+                self._sum[own] += q * self.parts[t]
+                seen.append(own)
+                if len(own) >= self.k:
+                    reached = max(reached, float(np.partition(self._sum[own], len(own) - self.k)[len(own) - self.k]))
+            if not seen:
+                continue
+            docs = np.concatenate(seen)
+            scores = self._sum[docs]
+            self._sum[docs] = 0.0
+            alive = scores + rest[len(seen)] >= reached - _SLACK
+            docs, first = np.unique(docs[alive], return_index=True)
+            scores = scores[alive][first]
+            for j in range(len(seen), len(lists)):
+                part, held = self._part(lists[j][1], docs)
+                scores = scores + np.where(held, lists[j][2] * part, 0.0)
+                alive = scores + rest[j + 1] >= reached - _SLACK
+                docs, scores = docs[alive], scores[alive]
+            yield n, *self.best(docs, scores)
+
     def _part(self, t: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What term t adds to each of the documents, and which of them hold it; a list of many documents is laid out."""
         own = self.docs[t]

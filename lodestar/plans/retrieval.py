@@ -223,7 +223,7 @@ def maxscore_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def maxscore_query_file_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.pruned_top_k(search.query_terms(_queries(spark, sf)), stored_index(spark, sf), K)
+    return batch.top_k(search.query_terms(_queries(spark, sf)), stored_index(spark, sf), K, how="pruned")
 
 
 def run_file(spark: SparkSession, sf: str) -> DataFrame:

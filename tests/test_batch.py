@@ -41,7 +41,7 @@ def shuffled(spark, run):
     return sum(n for k, n in total().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["bm25_query_file_topk", "tfidf_and_topk"])
+@pytest.mark.parametrize("name", ["bm25_query_file_topk", "tfidf_and_topk", "maxscore_query_file_topk"])
 def test_no_row_for_each_query_and_document(spark, sf, name):
     retrieval.stored_index(spark, sf, compressed="compressed" in name)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
@@ -70,6 +70,15 @@ def test_as_joined(spark, sf, conjunctive):
     assert sorted(map(tuple, batch.search_file(asked, index, 3, "tfidf", conjunctive).collect())) == want
 
 
+@pytest.mark.parametrize("k", [1, 10, 5000])
+@pytest.mark.parametrize("model", ["bm25", "tfidf"])
+def test_pruned_as_exhaustive(spark, sf, k, model):
+    index = retrieval.stored_index(spark, sf)
+    terms = search.query_terms(spark.read.parquet(f"{sf}/queries.parquet").limit(30))
+    want = sorted(map(tuple, batch.top_k(terms, index, k, model).collect()))
+    assert sorted(map(tuple, batch.top_k(terms, index, k, model, "pruned").collect())) == want
+
+
 def test_no_documents_no_queries_no_known_term(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     queries = spark.createDataFrame([("1", "x y"), ("2", "a")], "qid string, query_text string")
