@@ -266,7 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_parsed_topk": _topk(_bench, "bm25", parsed=True),
     "single_term_topk": single_term_topk,
     "every_term_topk": every_term_topk,
-    "dup_terms_topk": _topk(_doubled, "bm25"),
+    "dup_terms_topk": _file_topk(_doubled, "bm25"),
     "unknown_terms_and": unknown_terms_and,
     "essential_terms": essential_terms,
     "maxscore_topk": maxscore_topk,
