@@ -227,7 +227,7 @@ def maxscore_query_file_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_file(spark: SparkSession, sf: str) -> DataFrame:
-    return runfile.run_lines(_topk(_queries, "bm25")(spark, sf), "bm25")
+    return runfile.run_lines(_file_topk(_queries, "bm25")(spark, sf), "bm25")
 
 
 def single_query(spark: SparkSession, sf: str) -> DataFrame:
