@@ -273,7 +273,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "maxscore_query_file_topk": maxscore_query_file_topk,
     "tfidf_query_file_topk": _file_topk(_queries, "tfidf"),
     "bm25_compressed_topk": _topk(_bench, "bm25", compressed=True),
-    "bm25_and_compressed_topk": _topk(_queries, "bm25", True, compressed=True),
+    "bm25_and_compressed_topk": _file_topk(_queries, "bm25", True, compressed=True),
     "run_file": run_file,
     "single_query": single_query,
 }
