@@ -260,7 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "min_docid": min_docid,
     "bm25_or_topk": _topk(_bench, "bm25"),
     "tfidf_or_topk": _topk(_bench, "tfidf"),
-    "bm25_and_topk": _topk(_queries, "bm25", True),
+    "bm25_and_topk": _file_topk(_queries, "bm25", True),
     "tfidf_and_topk": _file_topk(_queries, "tfidf", True),
     "bm25_query_file_topk": _file_topk(_queries, "bm25"),
     "bm25_parsed_topk": _topk(_bench, "bm25", parsed=True),
