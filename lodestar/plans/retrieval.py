@@ -208,7 +208,7 @@ def _doubled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unknown_terms_and(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search_batch(plus_queries(spark, sf), stored_index(spark, sf), K, "tfidf", True)
+    return batch.search_file(plus_queries(spark, sf), stored_index(spark, sf), K, "tfidf", True)
 
 
 def essential_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -41,7 +41,7 @@ def shuffled(spark, run):
     return sum(n for k, n in total().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["bm25_query_file_topk", "tfidf_and_topk", "maxscore_query_file_topk", "tfidf_query_file_topk", "dup_terms_topk", "run_file", "bm25_and_compressed_topk", "bm25_and_topk"])
+@pytest.mark.parametrize("name", ["bm25_query_file_topk", "tfidf_and_topk", "maxscore_query_file_topk", "tfidf_query_file_topk", "dup_terms_topk", "run_file", "bm25_and_compressed_topk", "bm25_and_topk", "unknown_terms_and"])
 def test_no_row_for_each_query_and_document(spark, sf, name):
     retrieval.stored_index(spark, sf, compressed="compressed" in name)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
